@@ -110,7 +110,7 @@ def _fingerprints(docs: DataFrame, moduli, seed: int, with_text: bool = False) -
 def _differing(docs: DataFrame, groups: DataFrame, moduli, seed: int) -> DataFrame:
     """(doc_id, text_sha256) of rows whose text isn't that of the row that stays, by streaming comparison."""
     on = ["n_bytes", "fp1", "fp2"]
-    rows = _fingerprints(docs, moduli, seed, with_text=True).join(groups, on)
+    rows = _fingerprints(docs, moduli, seed, with_text=True).join(groups.hint("merge"), on)  # one plan at every size
     first = (F.col("text_sha256") == F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     rows = rows.withColumn("first", first).withColumn("salt", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "text_sha256"), salts.cast("long")).cast("int")))))
