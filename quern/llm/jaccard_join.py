@@ -184,7 +184,7 @@ def jaccard_join(
     nb = F.ceil(F.col("n") / block_rows).cast("int")
     wanted = cluster.join(sizes, "root").join(reps, "node").select("root", "node", "rep", "mult", "sig", "digest", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("mine"))
     wanted = written(wanted, "wanted")
-    blocks = slim.join(wanted, slim["doc_id"] == wanted["rep"]).withColumn("theirs", F.explode(F.expr("sequence(0, nb - 1)")))
+    blocks = slim.join(wanted.hint("merge"), slim["doc_id"] == wanted["rep"]).withColumn("theirs", F.explode(F.expr("sequence(0, nb - 1)")))
     blocks = blocks.select("root", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"), "mine", "node", "mult", "sig", "digest", "text")
 
     def verify(batches):
@@ -212,4 +212,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows are told apart by doc_id and text. Rows that repeat both share their fate.
     """
     gone = jaccard_join(docs, id_col, text_col, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    return docs.join(gone.hint("merge"), (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
