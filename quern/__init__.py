@@ -1,0 +1 @@
+"""A Spark-native analytics engine with self-tuning selectivity estimation."""

@@ -1,11 +1,13 @@
-"""Registered queries and their DuckDB oracles."""
+"""All registered queries and oracles but those of the llm subpackage."""
 
 from __future__ import annotations
 
+from quern.queries import base, functions, kde, relational  # noqa: F401  (they register)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.ORACLES)
