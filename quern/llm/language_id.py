@@ -149,11 +149,11 @@ def train(docs: DataFrame, *, per_lang: int = 400) -> Model:
     return fit({k: v for k, v in counts.items() if v})
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and ambiguous added (columns of these names are replaced)."""
+def predict(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with the language, its score and the ambiguity flag added (columns of these names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS x bits floats, whatever the data
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    names = [c for c in docs.columns if c not in added]
+    schema = docs.select(*names).schema.add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
 
     def run(batches):
         m = shared.value
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for s in range(0, x.num_rows, 500):
                 part = x.slice(s, 500)
                 got = [m.predict(t) for t in part.column("text").to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got])], [*part.schema.names, "lang_pred", "score", "ambiguous"])
+                yield pa.record_batch([*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got])], [*part.schema.names, *added])
 
     return docs.select(*names).mapInArrow(run, schema)
 
@@ -175,6 +175,5 @@ def identify(docs: DataFrame, *, per_lang: int = 400) -> DataFrame:
 
 def keep_identified(docs: DataFrame, *, per_lang: int = 400, least_score: float = 0.0) -> DataFrame:
     """The rows of docs whose language is told: not `und`, and not under least_score."""
-    columns = docs.columns
-    slim = docs.select(*columns)
-    return predict(slim, train(docs, per_lang=per_lang)).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*columns)
+    found = predict(docs, train(docs, per_lang=per_lang), ("__lang", "__score", "__ambiguous"))
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= least_score)).select(*docs.columns)

@@ -106,21 +106,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     within = F.row_number().over(Window.partitionBy("__s", "__salt").orderBy("__h", id_col)) - 1
     rows = rows.withColumn("__i", within).join(before, (F.col("__s") == F.col("__bs")) & (F.col("__salt") == F.col("__bsalt"))).withColumn("__i", F.col("__i") + F.col("__before"))
     rows = rows.withColumn("__block", F.floor(F.col("__i") / block_rows).cast("long"))
-    phases = steps.groupBy("__p").agg(F.sort_array(F.collect_set(F.struct("phase", "first", "until", "start", "share"))).alias("phases"))
-    turns = steps.groupBy(F.col("__p").alias("__q"), F.col("phase").alias("__f")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("turns"))
+    phases = steps.groupBy("__p").agg(F.sort_array(F.collect_set(F.struct("phase", "first", "until", "start", "share"))).alias("__phases"))
+    turns = steps.groupBy(F.col("__p").alias("__q"), F.col("phase").alias("__f")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("__turns"))
     rows = rows.join(F.broadcast(phases), F.col("__s") == F.col("__p"))  # period x phases numbers, both bounded by max_sources
-    rows = rows.withColumn("__ph", F.filter("phases", lambda p: (p["first"] <= F.col("__block")) & (F.col("__block") < p["until"]))[0])
+    rows = rows.withColumn("__ph", F.filter("__phases", lambda p: (p["first"] <= F.col("__block")) & (F.col("__block") < p["until"]))[0])
     rows = rows.join(F.broadcast(turns), (F.col("__s") == F.col("__q")) & (F.col("__ph.phase") == F.col("__f")))
     j = F.col("__block") - F.col("__ph.first")
-    slot = F.col("__ph.start") + F.floor(j / F.col("__ph.share")) * PERIOD_COL(len(sizes)) + F.element_at("turns", (F.pmod(j, F.col("__ph.share")) + 1).cast("int"))
+    slot = F.col("__ph.start") + F.floor(j / F.col("__ph.share")) * F.lit(max(PERIOD, 4 * len(sizes))) + F.element_at("__turns", (F.pmod(j, F.col("__ph.share")) + 1).cast("int"))
     rows = rows.withColumn("__slot", slot.cast("long")).withColumn("__at", F.col("__slot") * block_rows + F.pmod("__i", F.lit(block_rows)))
     return rows.select(*docs.columns, "__block", "__slot", "__at")
 
 
-def PERIOD_COL(n_sources: int):
-    return F.lit(max(PERIOD, 4 * n_sources))
-
-
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in the order of the mixture, range-partitioned, so that files written hold it."""
     out = mix(docs, **options)

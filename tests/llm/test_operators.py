@@ -261,7 +261,8 @@ def test_language_id(spark):
     by = {r.doc_id: r for r in got}
     assert [by[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by[None].lang_pred == "en" and not by[None].held_out
     assert all(0 <= r.score <= 1 for r in got)
-    assert {r.doc_id for r in keep_identified(df).collect()} == set(range(500)) | {None}
+    kept = keep_identified(df).collect()
+    assert {r.doc_id for r in kept} == set(range(500)) | {None} and {(r.score, r.lang_pred) for r in kept} == {(1, 2)}
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
     for n in (1, 2, 4, 9, 30):
         c = codewords(n)
