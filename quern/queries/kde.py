@@ -290,7 +290,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-stream").rstrip("/") + f"/changes-{uuid.uuid4().hex}"
     m, df = _model(spark, d, 100), table(spark, d, "lineitem")
     before = m.rows
-    ch = df.where("l_orderkey <= 40").select(F.monotonically_increasing_id().alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, "delete").otherwise("insert").alias("op"), *COLS)
+    n = F.col("n_nationkey").cast("double")  # a small table as the change stream
+    ch = table(spark, d, "nation").select(F.monotonically_increasing_id().alias("seq"), F.when(F.col("n_nationkey") % 3 == 0, "delete").otherwise("insert").alias("op"), n.alias("l_quantity"), (n * 1000).alias("l_extendedprice"), (n / 100).alias("l_discount"))
     ch.write.parquet(f"{base}/changes")
     maintain(spark.readStream.schema(ch.schema).parquet(f"{base}/changes"), m, df, f"{base}/checkpoint").awaitTermination()
     return spark.createDataFrame([(len(m.points), m.rows - before)], "sample int, net_change long")

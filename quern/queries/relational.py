@@ -46,9 +46,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return joins.not_in(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
 
 
-@query("join_range_bucket", "select event_id, q from events join (select p_partkey as q, p_retailprice / 10 as lo, p_retailprice / 10 + 1 as hi from part where p_partkey <= 40) r on value >= lo and value < hi")
+@query("join_range_bucket", "select event_id, q from events join (select p_partkey as q, p_retailprice / 10 as lo, p_retailprice / 10 + 0.02 as hi from part) r on value >= lo and value < hi")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("q"), (F.col("p_retailprice") / 10).alias("lo"), (F.col("p_retailprice") / 10 + 1).alias("hi"))
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("q"), (F.col("p_retailprice") / 10).alias("lo"), (F.col("p_retailprice") / 10 + 0.02).alias("hi"))
     return joins.range_join(table(spark, d, "events"), r, "value", "lo", "hi", 2.0).select("event_id", "q")
 
 
@@ -79,7 +79,7 @@ sql("agg_group_by_only", "select o_orderstatus, o_orderpriority from {orders} gr
 sql("agg_group_ordinal", "select o_orderstatus as s, o_custkey % 5 as m, count(*) as n from {orders} group by 1, 2")
 sql("agg_minmax", "select min(o_orderkey) as lo, max(o_orderkey) as hi, min(o_orderstatus) as smin, max(o_orderpriority) as smax from {orders}")
 sql("agg_empty_input", "select count(*) as n, sum(o_custkey) as s, max(o_totalprice) as m from {orders} where o_orderkey < 0", "select count(*) as n, sum(o_custkey)::bigint as s, max(o_totalprice) as m from orders where o_orderkey < 0")
-sql("agg_user_defined", "select o_orderstatus, aggregate(array_sort(collect_list(o_custkey % 7)), 0L, (a, x) -> a * 3 % 1000 + x) as h from {orders} where o_orderkey < 200 group by o_orderstatus", "select o_orderstatus, list_reduce(list_prepend(0, list_sort(list(o_custkey % 7))), lambda a, x: a * 3 % 1000 + x) as h from orders where o_orderkey < 200 group by o_orderstatus")
+sql("agg_user_defined", "select o_custkey, aggregate(array_sort(collect_list(o_orderkey % 7)), 0L, (a, x) -> a * 3 % 1000 + x) as h from {orders} group by o_custkey", "select o_custkey, list_reduce(list_prepend(0, list_sort(list(o_orderkey % 7))), lambda a, x: a * 3 % 1000 + x) as h from orders group by o_custkey")
 
 
 @query("agg_exact_sums", "select o_orderstatus, cast(sum(o_custkey) as varchar) as s, cast(round(sum(o_custkey)::decimal(38,12) / count(*), 6)::decimal(38,6) as varchar) as a from orders group by o_orderstatus")
@@ -118,12 +118,12 @@ sql("merge_append", "select k from (select n_nationkey as k from {nation} union
 sql("order_collate", "select n_name from {nation} order by lower(n_name) limit 7")
 
 
-@query("sort_nulls_last", "select o_orderkey, row_number() over (order by (case when o_custkey % 4 = 0 then null else o_custkey end) asc nulls last, o_orderkey) as up, row_number() over (order by (case when o_custkey % 4 = 0 then null else o_custkey end) desc nulls first, o_orderkey) as down from orders where o_orderkey < 400")
+@query("sort_nulls_last", "select o_orderkey, row_number() over (partition by o_orderstatus, o_orderpriority order by (case when o_custkey % 4 = 0 then null else o_custkey end) asc nulls last, o_orderkey) as up, row_number() over (partition by o_orderstatus, o_orderpriority order by (case when o_custkey % 4 = 0 then null else o_custkey end) desc nulls first, o_orderkey) as down from orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    o = table(spark, d, "orders").where("o_orderkey < 400").withColumn("v", F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")))
-    w = lambda *x: F.row_number().over(Window.orderBy(*x))
+    o = table(spark, d, "orders").withColumn("v", F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")))
+    w = lambda *x: F.row_number().over(Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy(*x))
     return o.select("o_orderkey", w(asc("v"), F.col("o_orderkey")).alias("up"), w(desc("v"), F.col("o_orderkey")).alias("down"))
 
 
