@@ -18,7 +18,7 @@ def extract_path_text(j, *keys) -> Column:
 
 def array_elements(j) -> Column:
     """Elements of a JSON array as JSON text."""
-    return F.transform(F.from_json(_c(j), T.ArrayType(T.VariantType())), F.to_json)
+    return F.transform(F.from_json(_c(j), T.ArrayType(T.VariantType())), lambda e: F.to_json(e))
 
 
 def each_text(j) -> Column:
