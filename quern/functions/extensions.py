@@ -41,7 +41,7 @@ def difference(a, b) -> Column:
     return reduce(lambda p, q: p + q, [(F.substring(x, i, 1) == F.substring(y, i, 1)).cast("int") for i in range(1, 5)])
 
 
-def daitch_free_metaphone(s) -> Column:
+def phonetic_key(s) -> Column:
     """A compact phonetic key: vowels but the first go, common digraphs and letters fold."""
     s = F.upper(_c(s))
     #: Folds in order.
