@@ -17,6 +17,7 @@ doc_id are separate documents in order of their text's hash; extra columns are n
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -112,41 +113,91 @@ def index_bytes(doc_id: np.ndarray, null: np.ndarray, offset: np.ndarray, width:
     return b"".join([MAGIC, *(a.tobytes() for a in (head, doc_id.astype("<i8"), offset.astype("<i8"), entry, pilots.astype("<u4"), prints, null.astype("u1")))])
 
 
-class Encoder:
-    """Whole texts to ids by way of their blank-separated words, each encoded once by the tokenizer.
+#: Characters that this module splits and folds as the tokenizer does (no special form under NFC, known classes).
+UNSAFE = re.compile("[^\\x00-\\x1b\\x20-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff]")
+#: The pre-tokenizer's pieces over those characters: contractions, letters, single digits, other runs.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\\x09-\\x0d\\x20\x85\xa0\\w]|_)+")
+PROBE = "It's 12\u00bd o'clock -- D\u00e9j\u00e0 VU_x,\tna\u00efve \u2026end\u0130 we'LL"
 
-    Right for tokenizers whose pieces never span white space and whose normaliser works on each side of
-    it alone (the pre-tokenizer of word_bpe drops white space); others are given whole texts.
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Whole texts to packed ids by way of their pieces, each encoded once by the tokenizer's model and kept.
+
+    That needs a tokenizer that lower-cases, drops white space and never joins pieces; a probe text decides,
+    and other tokenizers get whole texts. Texts with other characters are cut at blanks, which no piece
+    spans, and texts that may hold special tokens go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True, limit: int = 400_000):
+    LIMIT = 500_000
+
+    def __init__(self, path: str):
         import os
 
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.by_word, self.limit = Tokenizer.from_file(path), by_word, limit
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        self.letters, self.chunks = _byte_letters(), {}
+        self.specials = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        try:
+            self.by_piece = self._pieces(PROBE) == self._whole(PROBE)
+        except Exception:  # noqa: BLE001  a model without that alphabet
+            self.by_piece = False
+        self.clear()
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [self.pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        new = list(set().union(*words).difference(cache))
-        for s in range(0, len(new), 5000):
-            part = new[s : s + 5000]
-            cache.update(zip(part, (self.pack(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [b"".join(map(cache.__getitem__, w)) for w in words]
-
-
-def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, by_word: bool = True, shard_bytes: int = 24 << 20) -> DataFrame:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > self.LIMIT:
+            self.clear()
+        word = piece.encode().decode("latin-1").translate(self.letters)
+        self[piece] = out = self.pack([t.id for t in self.tokenizer.model.tokenize(word)])
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, PIECES.findall(text.lower())))
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not UNSAFE.search(chunk):
+            return self._pieces(chunk)
+        if len(self.chunks) > self.LIMIT // 5:
+            self.chunks.clear()
+        if chunk not in self.chunks:
+            self.chunks[chunk] = self._whole(chunk)
+        return self.chunks[chunk]
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece or any(s in text for s in self.specials):
+            return self._whole(text)
+        if not UNSAFE.search(text):
+            return self._pieces(text)
+        return b"".join(map(self._chunk, text.replace("\n", " ").split(" ")))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that its pieces serve all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, shard_bytes: int = 24 << 20) -> DataFrame:
     """Write the shards; returns the manifest (shard, data, index, n_docs, n_ids), one row for each shard, in doc_id order.
 
     A task that is run again writes other files; only the ones in the manifest count.
@@ -161,28 +212,28 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def write(batches):
         from pyspark import TaskContext
 
-        encoder, ids, nulls, counts, out = None, [], [], [], None
+        coder, ids, nulls, counts, out = None, [], [], [], None
         fs, path = open_fs(where)
         name = uuid.uuid4().hex
         for x in batches:
             if not x.num_rows:
                 continue
-            if encoder is None:
-                encoder = Encoder(tokenizer, by_word)
-                end = encoder.pack([end_id])
+            if coder is None:
+                coder = encoder(tokenizer)
+                end = coder.pack([end_id])
                 out = fs.open_output_stream(f"{path}/{name}.ids")
             for s in range(0, x.num_rows, 512):
                 part = x.slice(s, 512)
-                got = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                got = [coder.encode(t or "") for t in part.column("text").to_pylist()]
                 out.write(b"".join(y for g in got for y in (g, end)))
-                counts.append(np.array([len(g) // encoder.kind.itemsize + 1 for g in got]))
+                counts.append(np.array([len(g) // coder.kind.itemsize + 1 for g in got]))
             ids.append(np.asarray(x.column("doc_id").fill_null(0)))
             nulls.append(np.asarray(x.column("doc_id").is_null()))
-        if encoder is not None:
+        if coder is not None:
             out.close()
             n = np.concatenate(counts)
             with fs.open_output_stream(f"{path}/{name}.idx") as f:
-                f.write(index_bytes(np.concatenate(ids), np.concatenate(nulls), np.concatenate([[0], np.cumsum(n)]), encoder.kind.itemsize))
+                f.write(index_bytes(np.concatenate(ids), np.concatenate(nulls), np.concatenate([[0], np.cumsum(n)]), coder.kind.itemsize))
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{where}/{name}.ids"]), pa.array([f"{where}/{name}.idx"]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "data", "index", "n_docs", "n_ids"])
 
     return written(ranged.mapInArrow(write, "shard int, data string, index string, n_docs long, n_ids long"), "manifest")
