@@ -88,21 +88,23 @@ class Model:
         return self.decode(m) if m is not None else ("und", 0.0, True)
 
 
-def fit(counts: dict[str, list[np.ndarray]]) -> Model:
-    """counts: for each language the n-gram counts of its rows."""
+def fit(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """counts: for each language the (n-grams, counts) of its rows, kept sparse as the driver holds them all."""
     langs = sorted(counts)
     if not langs:
         return Model([], np.empty((0, 0)), np.empty((GRAMS, 0), np.float32), np.empty(0), np.empty(0))
     code = codewords(len(langs))
-    rows = [(i, c) for i, x in enumerate(langs) for c in counts[x]]
-    share = np.array([np.sum([c / max(c.sum(), 1) for c in counts[x]], axis=0) / len(counts[x]) for x in langs])  # languages count alike
+    rows = [(i, at, n / n.sum()) for i, x in enumerate(langs) for at, n in counts[x]]
+    share = np.zeros((len(langs), GRAMS))
+    for i, at, part in rows:
+        share[i, at] += part / len(counts[langs[i]])  # languages count alike
     weights = np.empty((GRAMS, code.shape[1]))
     for bit in range(code.shape[1]):
         yes, no = (share[code[:, bit] == v].mean(0) if (code[:, bit] == v).any() else np.full(GRAMS, 1 / GRAMS) for v in (1, -1))
         weights[:, bit] = np.log((yes + 0.02 / GRAMS) / (no + 0.02 / GRAMS))
-    x = np.array([c @ weights / max(c.sum(), 1) for _, c in rows])
-    y = code[[i for i, _ in rows]]
-    w = np.array([1 / len(counts[langs[i]]) for i, _ in rows])
+    x = np.array([part @ weights[at] for _, at, part in rows])
+    y = code[[i for i, _, _ in rows]]
+    w = np.array([1 / len(counts[langs[i]]) for i, _, _ in rows])
     w /= w.sum()
     scale, bias = np.empty(code.shape[1]), np.empty(code.shape[1])
     for bit in range(code.shape[1]):  # logistic calibration by Newton steps, with a small ridge
@@ -140,12 +142,10 @@ def train(docs: DataFrame, *, per_lang: int = 400) -> Model:
                 nz = [np.flatnonzero(g) for g in got]
                 yield pa.record_batch([part.column("lang"), pa.array([i.astype("<i4").tobytes() for i in nz]), pa.array([g[i].astype("<i4").tobytes() for g, i in zip(got, nz, strict=True)])], ["lang", "at", "n"])
 
-    counts: dict[str, list[np.ndarray]] = {}
+    counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in training_rows(docs, per_lang).mapInArrow(count, "lang string, at binary, n binary").toLocalIterator():
-        c = np.zeros(GRAMS, np.int32)
-        c[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i4")
-        if len(counts.setdefault(r["lang"], [])) < per_lang and c.sum():
-            counts[r["lang"]].append(c)
+        if len(counts.setdefault(r["lang"], [])) < per_lang and len(r["at"]):
+            counts[r["lang"]].append((np.frombuffer(bytes(r["at"]), "<i4"), np.frombuffer(bytes(r["n"]), "<i4")))
     return fit({k: v for k, v in counts.items() if v})
 
 
