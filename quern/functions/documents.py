@@ -100,8 +100,6 @@ def is_document(x) -> Column:
     """Well-formed with one root element. A parser is needed, so Arrow batches go to Python."""
     import xml.etree.ElementTree as ET
 
-    import pandas as pd
-
     def ok(t):
         if t is None:
             return None
@@ -111,7 +109,4 @@ def is_document(x) -> Column:
             return False
         return True
 
-    def formed(s: pd.Series) -> pd.Series:
-        return s.map(ok)
-
-    return F.pandas_udf(formed, "boolean")(_c(x))
+    return F.pandas_udf(lambda s: s.map(ok), "boolean", F.PandasUDFType.SCALAR)(_c(x))
