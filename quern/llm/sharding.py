@@ -21,6 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.llm._io import written
 
+#: Rows of 12 bytes up to which the offsets of buckets are broadcast; 48 MB buckets reach it at 190 TB.
+SMALL_TABLE = 4_000_000
+
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
     """A seeded permutation of range(n); numpy's shuffle swaps from the end as Fisher and Yates do."""
@@ -66,6 +69,7 @@ def shuffle_to_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = written(scattered.mapInArrow(second_pass, schema), "shards")
     counts = placed.groupBy("__bucket").agg(F.count("*").alias("n"))
     before = counts.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))  # a row for each bucket
+    before = F.broadcast(before) if buckets <= SMALL_TABLE else before  # else the written rows would be shuffled from some size on
     at = F.col("__before") + F.col("__at")
     return placed.join(before, "__bucket").withColumn("shard", F.pmod(at, F.lit(n_shards)).cast("int")).withColumn("slot", F.floor(at / n_shards).cast("long")).drop("__bucket", "__at", "__before")
 
