@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quern.llm._io import written
 from quern.llm.suffix_array import suffix_array
@@ -28,8 +28,12 @@ from quern.llm.suffix_array import suffix_array
 GRAM = 64
 PIECE = 1 << 23
 BATCH = 1 << 20
-#: Distinct runs of one bucket beyond which its starts are dealt out one by one.
+#: Runs of one bucket beyond which its starts are dealt out one by one.
 CROWD = 2000
+#: A bucket or run of any size is joined in this many parts; its aggregate lists the parts it has.
+SALTS = 32
+SALTS_SEEN = "bit_or(shiftleft(1L, salt)) as salts"
+EACH_SALT = f"explode(filter(sequence(0, {SALTS - 1}), i -> (shiftright(salts, i) & 1) = 1)) as salt"
 _rng = np.random.default_rng(99)
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _STEPS = [np.uint64(int(x) | 1) for x in _rng.integers(0, 2**64, 6, dtype=np.uint64)]
@@ -133,12 +137,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     p = at.slice(s, 100_000)
                     yield pa.record_batch([ids.take(p), keys.take(p), *(c.slice(s, 100_000) for c in cols)], [*key, "bucket", "digest", "lo", "n"])
 
-    found = slim.mapInArrow(scan, "doc_id long, text_key long, bucket long, digest long, lo long, n int")
-    by_bucket, by_run = Window.partitionBy("bucket"), Window.partitionBy("bucket", "digest")
-    found = found.withColumn("in_run", F.count("*").over(by_run)).withColumn("nth", F.row_number().over(by_run.orderBy(*key, "lo"))).withColumn("in_bucket", F.count("*").over(by_bucket)).where("in_bucket > 1")
-    found = written(found.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_bucket)), "runs")
+    scanned = written(slim.mapInArrow(scan, "doc_id long, text_key long, bucket long, digest long, lo long, n int"), "scan")
+    salted = scanned.withColumn("salt", F.pmod(F.xxhash64(*key, "lo"), F.lit(SALTS)).cast("int"))
+    buckets = salted.groupBy("bucket").agg(F.count("*").alias("in_bucket"), (F.min("digest") != F.max("digest")).alias("mixed"), F.expr(SALTS_SEEN)).where("in_bucket > 1")
+    found = written(salted.join(buckets.select("bucket", "in_bucket", "mixed", F.expr(EACH_SALT)), ["bucket", "salt"]), "runs")
+    mixed = found.where("mixed")
+    variants = written(mixed.groupBy("bucket", "digest").agg(F.count("*").alias("times"), F.min(F.struct(*key, "lo", "n", "in_bucket")).alias("r"), F.expr(SALTS_SEEN)).select("bucket", "digest", "times", "r.*", "salts"), "variants")
 
-    asked = found.where("nth = 1 and kinds > 1").groupBy(*key).agg(F.collect_list(F.struct("bucket", "digest", "lo", "n", "kinds")).alias("asked"))
+    asked = variants.groupBy(*key).agg(F.collect_list(F.struct("bucket", "digest", "lo", "n", "in_bucket")).alias("asked"))
 
     def cut(batches):
         kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["home", "bucket", "digest", "off", "data"]
@@ -150,7 +156,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if (a["bucket"], a["digest"]) in seen:
                         continue
                     seen.add((a["bucket"], a["digest"]))
-                    if a["kinds"] <= CROWD:
+                    if a["in_bucket"] <= CROWD:
                         rows.append((a["bucket"], a["bucket"], a["digest"], 0, bytes(view[a["lo"] : a["lo"] + a["n"] - 1 + width])))
                     else:
                         for off in range(a["n"]):
@@ -186,8 +192,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = texts.select("text", "asked").mapInArrow(cut, "home long, bucket long, digest long, off int, data binary")
     sorted_out = written(pieces.repartition("home").sortWithinPartitions("home").mapInArrow(sort, "bucket long, digest long, a long, b long").distinct(), "repeats")
 
-    whole = found.where("in_run > 1").select(*key, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
-    partly = found.where("in_run = 1").join(sorted_out, ["bucket", "digest"]).select(*key, (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + width).alias("e"))
+    again = variants.where("times > 1").select("bucket", "digest", F.expr(EACH_SALT))
+    whole = found.where("not mixed").select(*key, "lo", "n").union(mixed.join(again, ["bucket", "digest", "salt"], "left_semi").select(*key, "lo", "n"))
+    whole = whole.select(*key, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
+    partly = variants.where("times = 1").join(sorted_out, ["bucket", "digest"]).select(*key, (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + width).alias("e"))
     spans = written(whole.union(partly).groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), "spans")
 
     def finish(batches):
