@@ -305,6 +305,26 @@ def test_mixing(spark):
         mix(frame(spark, DOCS), max_sources=2)
 
 
+@pytest.mark.parametrize("n,weights", [({"a": 9000, "b": 2600, "c": 300, "d": 40}, None), ({"a": 6000, "b": 3}, {"a": 4000, "b": 1}), ({"a": 3000, "b": 2000, "c": 900}, {"a": 0.1, "b": 0.7, "c": 1 / 3})])
+def test_mixing_keeps_true_weights(spark, n, weights):
+    from quern.llm.mixing import mix
+
+    rows = [(i, s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, bucket_rows=700, weights=weights).collect()
+    order = sorted((r["__slot"], r["__at"], r.source) for r in got)
+    assert [x[0] for x in order] == [x[1] for x in order] == list(range(len(rows)))
+    w, left = weights or {s: k**0.5 for s, k in n.items()}, dict(n)
+    done, t = Counter(), 0
+    for _, _, s in order:
+        done[s] += 1
+        t += 1
+        left[s] -= 1
+        total = sum(w[x] for x in w if left[x] or done[x])
+        assert all(abs(done[x] - t * w[x] / total) < 1 + 1e-9 for x in w if left[x] or done[x])
+        if not left[s]:  # the next phase
+            done, t = Counter(), 0
+
+
 def test_top_k(spark):
     from quern.llm.topk import top_k
 
