@@ -142,9 +142,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches):
         kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["home", "bucket", "digest", "off", "data"]
+        last = None
         for x in batches:
             rows = []
-            for t, asked in zip(x.column("text"), x.column("asked").to_pylist(), strict=True):
+            for i, k, t, asked in zip(*(x.column(c).to_pylist() for c in key), x.column("text"), x.column("asked").to_pylist(), strict=True):
+                if (i, k) == last:  # a repeated row
+                    continue
+                last = (i, k)
                 view, seen = memoryview(t.as_buffer()), set()
                 for a in asked:
                     if (a["bucket"], a["digest"]) in seen:
@@ -164,27 +168,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sort(batches):
         kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64()], ["bucket", "digest", "a", "b"]
-        rows, total, home, carried = [], 0, None, None
+        rows, total, home, last = [], 0, None, None  # rows are of whole homes
+        group, held, first, least = [], 0, {}, 0  # of the home being read: all rows, and one of each string
 
-        def flush():
+        def flush(rows):
             got = repeated_starts([r[4] for r in rows], width)
             return _record([(rows[s][1], rows[s][2], rows[s][3] + a, rows[s][3] + b) for s, a, b in got], kinds, names)
 
         for x in batches:
             for r in zip(*(x.column(c).to_pylist() for c in ("home", "bucket", "digest", "off", "data")), strict=True):
-                if total > BATCH and (r[0] != home or total > 1.5 * BATCH):
-                    yield flush()
-                    rows = [rows[-1]] if r[0] == home else []  # one window of a home that goes on stands for it
-                    total = sum(len(q[4]) + 1 for q in rows)
-                home = r[0]
-                rows.append(r)
-                total += len(r[4]) + 1
-        if rows:
-            yield flush()
+                if r[:4] == last:  # from a repeated row
+                    continue
+                last = r[:4]
+                if r[0] != home:
+                    rows += group
+                    total += held
+                    home, group, held, first, least = r[0], [], 0, {}, 0
+                n = len(r[4]) + 1
+                if rows and total + held + n > BATCH:
+                    yield flush(rows)
+                    rows, total = [], 0
+                if held + n > BATCH and 2 * least <= BATCH:  # one of each string stands for a home that goes on; differing runs, CROWD at most, stay together
+                    yield flush(group)
+                    group, held = list(first.values()), least
+                group.append(r)
+                held += n
+                if r[4] not in first:
+                    first[r[4]] = r
+                    least += n
+        if rows or group:
+            yield flush(rows + group)
 
     texts = slim.join(asked.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    pieces = texts.select("text", "asked").mapInArrow(cut, "home long, bucket long, digest long, off int, data binary")
-    sorted_out = written(pieces.repartition("home").sortWithinPartitions("home").mapInArrow(sort, "bucket long, digest long, a long, b long").distinct(), "repeats")
+    pieces = texts.select(*key, "text", "asked").mapInArrow(cut, "home long, bucket long, digest long, off int, data binary")
+    sorted_out = written(pieces.repartition("home").sortWithinPartitions("home", "bucket", "digest", "off").mapInArrow(sort, "bucket long, digest long, a long, b long").distinct(), "repeats")
 
     whole = found.where("in_run > 1").select(*key, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
     partly = found.where("in_run = 1").join(sorted_out, ["bucket", "digest"]).select(*key, (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + width).alias("e"))

@@ -375,6 +375,24 @@ def test_suffix_dedup(spark, monkeypatch, crowd, batch):
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_suffix_dedup_keeps_buckets_whole(spark, monkeypatch, crowd):
+    from quern.llm import suffix_dedup as sd
+
+    monkeypatch.setattr(sd, "CROWD", crowd)
+    monkeypatch.setattr(sd, "BATCH", 3000)
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    line = min((text(64) for _ in range(5000)), key=lambda t: int(sd.gram_hashes(np.frombuffer(t.encode(), np.uint8))[0]))  # wins all windows
+    rows = []
+    for i in range(30):  # pairs that share 210 bytes around the line and differ beyond
+        left, right = text(70), text(76)
+        rows += [(1000 + 2 * i + j, text(150) + left + line + right + text(150), "en", "s", 0) for j in range(2)]
+    rows += [rows[0]] * 40  # rows that repeat both id and text
+    got = sd.remove_repeats(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 200)
+
+
 def test_suffix_array():
     from quern.llm.suffix_array import suffix_array
 
