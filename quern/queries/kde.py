@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.kde import losses, model as M
-from quern.kde.config import Metric
+from quern.kde.config import Config, Metric
 from quern.queries.base import query, table
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -145,14 +145,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("karma").agg(F.count("*").alias("points"))
 
 
-def _model(spark: SparkSession, d: str, size: int = 300) -> M.Model:
-    import numpy as np
-
-    s = sample(spark, d).orderBy(*COLS).limit(size)
-    raw = np.array([[float(x) for x in r] for r in s.collect()])
-    mean, sd = raw.mean(0), raw.std(0, ddof=1)
-    n = table(spark, d, "lineitem").count()
-    return M.Model("lineitem", COLS, (raw - mean) / sd, mean, sd, np.full(3, M.scott(3, len(raw))), n, karma=np.zeros(len(raw)))
+def _model(spark: SparkSession, d: str) -> M.Model:
+    return M.Model.analyze(table(spark, d, "lineitem"), "lineitem", COLS, Config().kde_samplesize)
 
 
 def _observed(spark: SparkSession, d: str):
@@ -273,7 +267,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from quern.streaming.feedback import learn_from
 
     base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-stream").rstrip("/") + f"/loop-{uuid.uuid4().hex}"
-    m = _model(spark, d, 100)
+    m = _model(spark, d)
     rows = [(None, "lineitem", 1, R.encode(r), 1_000_000, int(t * 1_000_000)) for r, t in _observed(spark, d)]
     FB.append(spark.createDataFrame(rows, FB.FEEDBACK), f"{base}/feedback")
     learn_from(spark.readStream.schema(FB.FEEDBACK).parquet(f"{base}/feedback"), m, f"{base}/model", f"{base}/checkpoint").awaitTermination()
@@ -288,7 +282,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from quern.streaming.feedback import maintain
 
     base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-stream").rstrip("/") + f"/changes-{uuid.uuid4().hex}"
-    m, df = _model(spark, d, 100), table(spark, d, "lineitem")
+    m, df = _model(spark, d), table(spark, d, "lineitem")
     before = m.rows
     n = F.col("n_nationkey").cast("double")  # a small table as the change stream
     ch = table(spark, d, "nation").select(F.monotonically_increasing_id().alias("seq"), F.when(F.col("n_nationkey") % 3 == 0, "delete").otherwise("insert").alias("op"), n.alias("l_quantity"), (n * 1000).alias("l_extendedprice"), (n / 100).alias("l_discount"))

@@ -279,6 +279,50 @@ def test_stholes():
     assert sum(1 for _ in h.boxes()) <= 21
 
 
+def lineitem(spark, path, n, quantity=None):
+    rng = np.random.default_rng(6)
+    raw = np.stack([rng.integers(1, 51, n) if quantity is None else np.full(n, quantity), rng.uniform(900, 100_000, n), rng.integers(0, 11, n) / 100], 1).astype(float)
+    rows = [(i // 4, i % 4, *r, "R") for i, r in enumerate(raw.tolist())]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    return raw
+
+
+def test_kde_queries_model_the_table(spark, tmp_path):
+    from math import erf, sqrt
+
+    from quern.queries import kde
+
+    d, few = str(tmp_path / "few"), 1500  # fewer rows than kde_samplesize, so the sample is the table
+    raw = lineitem(spark, d, few)
+    mean, sd, h = raw.mean(0), raw.std(0, ddof=1), (4 / (5 * few)) ** (1 / 7)
+
+    def estimate(lo, hi):
+        f = lambda b, x, j: erf((b - x) / sd[j] / (sqrt(2) * h))
+        return sum(np.prod([(f(hi[j], x[j], j) - f(lo[j], x[j], j)) / 2 for j in range(3)]) for x in raw) / few
+
+    inf = float("inf")
+    queries = registry.queries()
+    assert np.isclose(queries["kde_explain_estimate"](spark, d).first()[0], few * estimate([10, -inf, -inf], [30, inf, 0.05]) / 3, rtol=1e-6)
+    want = np.mean([(estimate(b[1::2], b[2::2]) - ((raw > b[1::2]) & (raw < b[2::2])).all(1).mean()) ** 2 for b in kde.BOXES])
+    for name in ("kde_rmsprop", "kde_vsgd"):
+        got = queries[name](spark, d).first()
+        assert np.isclose(got.loss_before, want, rtol=1e-6) and np.isfinite(got.loss_after) and min(got.bandwidth) > 0
+    got = queries["kde_batch_optimised"](spark, d).first()
+    assert got.loss_after <= got.loss_before and min(got.bandwidth) > 0
+    got = {r.strategy: r for r in queries["kde_sample_maintenance"](spark, d).collect()}
+    assert got["car_delete"].table_rows == few + 99 and 0 <= got["pkr"].value < few
+    assert queries["stream_feedback_loop"](spark, d).first().sample == few
+
+    d = str(tmp_path / "many")
+    raw = lineitem(spark, d, 20_000)
+    m = kde._model(spark, d)
+    assert len(m.points) == 4300 and m.rows == 20_000
+    assert (np.abs(m.mean - raw.mean(0)) < 5 * raw.std(0) / 4300**0.5).all() and (np.abs(m.sd / raw.std(0) - 1) < 0.1).all()
+    d = str(tmp_path / "same")
+    lineitem(spark, d, 500, quantity=1)
+    assert np.isfinite(kde._model(spark, d).points).all()
+
+
 def test_store_round_trip(spark, tmp_path):
     from quern.kde import store
 
