@@ -75,7 +75,8 @@ def car_insert(model: Model, row: np.ndarray, rng: np.random.Generator) -> None:
 def car_delete(model: Model, row: np.ndarray, fresh) -> int:
     """Slots that hold exactly the deleted row get fresh rows from fresh(n)."""
     model.rows -= 1
-    hit = np.flatnonzero(np.isclose(model.points, (row - model.mean) / model.sd, rtol=0, atol=1e-9).all(1))
+    at = np.flatnonzero(np.abs(model.points[:, 0] - (row[0] - model.mean[0]) / model.sd[0]) <= 1e-9)
+    hit = at[(np.abs(model.points[at] - (row - model.mean) / model.sd) <= 1e-9).all(1)]
     if len(hit):
         replace(model, hit, fresh(len(hit)))
     return len(hit)

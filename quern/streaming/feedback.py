@@ -32,14 +32,27 @@ def learn_from(feedback: DataFrame, model: Model, path: str, checkpoint: str, co
 
 
 def maintain(changes: DataFrame, model: Model, table: DataFrame, checkpoint: str, seed: int = 1) -> StreamingQuery:
-    """changes (seq, op, the model's columns): inserts and deletes keep the sample representative (CAR)."""
+    """changes (seq, op, the model's columns): inserts and deletes keep the sample representative (CAR).
+
+    Deleted points are refilled after each micro-batch, with one sample of table, which is the table after the changes.
+    """
     rng = np.random.default_rng(seed)
 
-    def fresh(n: int) -> np.ndarray:
+    def gone(n: int) -> np.ndarray:
+        return np.full((n, len(model.columns)), np.nan)
+
+    def refill() -> None:
         from quern.kde.model import random_sample
 
-        rows = random_sample(table, model.columns, n, int(rng.integers(1 << 30))).collect()
-        return np.array([[float(x) for x in r] for r in rows], float)
+        slots = np.flatnonzero(np.isnan(model.points).any(1))
+        if not len(slots):
+            return
+        rows = random_sample(table, model.columns, len(slots), int(rng.integers(1 << 30))).collect()  # at most the model's sample size
+        raw = np.array([[float(x) for x in r] for r in rows], float)
+        if len(raw):  # a table of fewer rows gives some of them again
+            maintenance.replace(model, slots, raw[np.arange(len(slots)) % len(raw)])
+        else:
+            model.points, model.karma = np.delete(model.points, slots, 0), np.delete(model.karma, slots)
 
     def step(batch: DataFrame, n: int) -> None:
         for r in batch.orderBy("seq").toLocalIterator():
@@ -47,6 +60,7 @@ def maintain(changes: DataFrame, model: Model, table: DataFrame, checkpoint: str
             if r["op"] == "insert":
                 maintenance.car_insert(model, row, rng)
             else:
-                maintenance.car_delete(model, row, fresh)
+                maintenance.car_delete(model, row, gone)
+        refill()
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -323,6 +323,26 @@ def test_kde_queries_model_the_table(spark, tmp_path):
     assert np.isfinite(kde._model(spark, d).points).all()
 
 
+def test_stream_maintains_the_table(spark, tmp_path, monkeypatch):
+    from quern.kde import model as M
+    from quern.streaming import feedback
+
+    d, n, samples, models = str(tmp_path), 6000, [], []
+    raw = lineitem(spark, d, n)
+    real, maintain = M.random_sample, feedback.maintain
+    monkeypatch.setattr(M, "random_sample", lambda *a: samples.append(a[2]) or real(*a))
+    monkeypatch.setattr(feedback, "maintain", lambda *a: models.append(a[1]) or maintain(*a))
+    got = registry.queries()["stream_sample_maintenance"](spark, d).first()
+    key = np.arange(n) // 4
+    left = raw[key % 6 != 0]
+    assert got.net_change == (key % 2 == 1).sum() - (key % 6 == 0).sum() and got.sample == (key % 2 == 0).sum()
+    assert len(samples) == 2  # ANALYZE, and one for all deleted points of the micro-batch
+    m = models[0]
+    points = np.round(m.points * m.sd + m.mean, 4)
+    assert m.rows == len(left) and {tuple(p) for p in points} <= {tuple(p) for p in np.round(left, 4)}
+    assert 0.2 < np.isin(points[:, 1], np.round(raw[key % 2 == 1][:, 1], 4)).mean() < 0.9  # inserted rows take their share
+
+
 def test_store_round_trip(spark, tmp_path):
     from quern.kde import store
 
