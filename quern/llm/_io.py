@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,24 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh URI below spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+def base_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as a URI; a temporary folder where that is unset and the session is local (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="quern-"))
+            atexit.register(shutil.rmtree, _own[0].removeprefix("file://"), ignore_errors=True)
         base = _own[0]
     if "://" not in base and base.startswith("/"):
         base = "file://" + base
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh URI below the shared folder."""
+    return f"{base_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back."""
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As written(), with the folder, for dropped() once nothing reads it any more."""
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(uri: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    f, path = open_fs(uri)
+    f.delete_dir(path)
 
 
 def open_fs(uri: str):

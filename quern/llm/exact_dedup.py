@@ -6,6 +6,10 @@ document are hashed independently, in any task, and combined in any bracketing.
 length and fingerprint are then compared chunk by chunk with the row that would stay; rows that
 differ from it (a collision) go through another round under other bases.
 
+Texts of up to `huge_bytes` are hashed where they are read; longer ones are cut into chunk rows that
+any task hashes, and combine_chunks() brings their fingerprints together. Only rows of groups of two or
+more move their text: the others are held back in the scan by a prefilter of fixed size.
+
 Defined results: null text counts as empty and equals it; rows with a null doc_id sort after all
 others of their group; of rows that repeat the smallest doc_id in a group exactly one is kept;
 extra columns are not read (decisions) or passed through (deduplicate).
@@ -18,9 +22,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.llm._io import written
+from quern.llm.keyfilter import possible
 from quern.llm.jaccard_join import _groups
 
 CHUNK = 1 << 15
@@ -29,6 +34,8 @@ BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: The same class for Java and DuckDB patterns.
 BLANKS_SQL = r"[\x20\x09-\x0D]+"
 SALT_ROWS = 256
+#: Longer texts are fingerprinted in chunks by many tasks.
+HUGE = 1 << 16
 
 
 def normalise(text: str | None) -> bytes:
@@ -70,100 +77,125 @@ def combine_chunks(chunks: DataFrame, seed: int = 0, moduli: tuple[int, int] = M
     """Fingerprints of documents given as rows (key, chunk_no, data), chunks hashed in parallel.
 
     Returns key, n_bytes, fp1, fp2. Only 24 bytes a chunk are shuffled; an empty document needs one
-    row with empty or null data. The chunks of a key may lie in any partitions.
+    row with empty or null data. The chunks of a key may lie in any partitions; a chunk number given twice counts once.
     """
     f = Fingerprint(moduli, seed)
 
     def leaves(batches):
         for x in batches:
-            n, a, b = zip(*([f.of(d or b"") for d in x.column(2).to_pylist()] or [(0, 0, 0)]), strict=True)
+            n, a, b = zip(*([f.of(d.as_buffer() if d.is_valid else b"") for d in x.column(2)] or [(0, 0, 0)]), strict=True)
             if x.num_rows:
                 yield pa.record_batch([x.column(0), x.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "chunk_no", "n", "a", "b"])
 
     def join(batches):
         for (key,), t in _groups(batches, ["key"]):
-            out = (0, 0, 0)
-            for part in zip(t["n"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist(), strict=True):
-                out = f.combine(out, part)
+            out, last = (0, 0, 0), None
+            for no, *part in zip(*(t[c].to_pylist() for c in ("chunk_no", "n", "a", "b")), strict=True):
+                if no != last:
+                    out, last = f.combine(out, part), no
             yield pa.record_batch([pa.array([v], pa.int64()) for v in (int(key), *out)], ["key", "n_bytes", "fp1", "fp2"])
 
     rows = chunks.selectExpr("cast(key as long) key", "cast(chunk_no as long) chunk_no", "data").mapInArrow(leaves, "key long, chunk_no long, n long, a long, b long")
     return rows.repartition("key").sortWithinPartitions("key", "chunk_no").mapInArrow(join, "key long, n_bytes long, fp1 long, fp2 long")
 
 
-def _fingerprints(docs: DataFrame, moduli, seed: int, with_text: bool = False) -> DataFrame:
-    f = Fingerprint(moduli, seed)
+def _normal(text) -> Column:
+    """The normalised text as bytes, in the JVM."""
+    return F.encode(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS_SQL, " "), "UTF-8")
 
-    def run(batches):
-        for x in batches:
-            texts = [normalise(t) for t in x.column(1).to_pylist()]
-            got = [f.of(t) for t in texts]
-            cols = [x.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            if with_text:
-                cols.append(pa.array(texts, pa.binary()))
-            yield pa.record_batch(cols, names)
 
-    names = ["doc_id", "n_bytes", "fp1", "fp2", "text_sha256", *["data"] * with_text]
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, fp1 long, fp2 long, text_sha256 string" + ", data binary" * with_text)
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and key, by which a row is found again in another scan."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key"))
+
 
+def _fingerprints(docs: DataFrame, moduli, seed: int, huge_bytes: int) -> DataFrame:
+    """doc_id, key, n_bytes, fp1, fp2, text_sha256 of the rows of _slim()."""
+    f = Fingerprint(moduli, seed)
 
-def _differing(docs: DataFrame, groups: DataFrame, moduli, seed: int) -> DataFrame:
-    """(doc_id, text_sha256) of rows whose text isn't that of the row that stays, by streaming comparison."""
+    def run(batches):
+        for x in batches:
+            for s in range(0, x.num_rows, 256):  # a few texts at a time are held twice
+                part = x.slice(s, 256)
+                got = []
+                for t in part.column("text"):
+                    data = normalise(t.as_py())
+                    got.append((*f.of(data), hashlib.sha256(data).hexdigest()))
+                n, a, b, sha = zip(*got, strict=True)
+                yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha)], names)
+
+    names = ["doc_id", "key", "n_bytes", "fp1", "fp2", "text_sha256"]
+    is_huge = F.coalesce(F.octet_length("text"), F.lit(0)) > huge_bytes
+    near = docs.where(~is_huge).mapInArrow(run, "doc_id long, key long, n_bytes long, fp1 long, fp2 long, text_sha256 string")
+    huge = docs.where(is_huge).select("doc_id", "key", _normal(F.col("text")).alias("data"))
+    chunk = F.transform(F.sequence(F.lit(0), F.floor((F.length("data") - 1) / CHUNK).cast("int")), lambda i: F.struct(i.alias("no"), F.substring("data", i * CHUNK + 1, F.lit(CHUNK)).alias("data")))
+    chunks = huge.select("key", F.explode(chunk).alias("c")).select("key", F.col("c.no").alias("chunk_no"), "c.data")
+    far = huge.select("doc_id", "key", F.sha2("data", 256).alias("text_sha256")).join(combine_chunks(chunks, seed, moduli), "key")
+    return near.unionByName(far)
+
+
+def _differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, key) of rows whose text isn't that of the row that stays, by streaming comparison."""
     on = ["n_bytes", "fp1", "fp2"]
-    rows = _fingerprints(docs, moduli, seed, with_text=True).join(groups.hint("merge"), on)  # one plan at every size
-    first = (F.col("text_sha256") == F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    members = prints.join(groups.hint("merge"), on)  # one plan at every size
+    members = members.groupBy("doc_id", "key", *on).agg(F.max(F.col("row") == F.col("keep_row")).alias("first"), F.first("group_size").alias("group_size"))
+    members = written(members, "members")
+    maybe = possible(members.select("key"))
+    m = members.withColumnsRenamed({"doc_id": "m_id", "key": "m_key"}).hint("merge")
+    rows = docs.where(maybe(F.col("key"))).join(m, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    rows = rows.withColumn("first", first).withColumn("salt", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "text_sha256"), salts.cast("long")).cast("int")))))
+    own = F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), salts.cast("long")).cast("int")
+    rows = rows.withColumn("salt", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(own))))
 
     def compare(batches):
-        key = data = None
+        group = data = None
         for x in batches:
             bad = []
-            for i, (k, mine, text) in enumerate(zip(zip(*(x.column(c).to_pylist() for c in (*on, "salt")), strict=True), x.column("first").to_pylist(), x.column("data"), strict=True)):
-                if k != key:
+            for i, (g, mine, text) in enumerate(zip(zip(*(x.column(c).to_pylist() for c in (*on, "salt")), strict=True), x.column("first").to_pylist(), x.column("data"), strict=True)):
+                if g != group:
                     if not mine:
                         raise RuntimeError("a group came without its first row")
-                    key, data = k, text.as_buffer()
-                elif not mine or not data.equals(text.as_buffer()):
-                    other = memoryview(text.as_buffer())
-                    if any(data[c : c + CHUNK] != other[c : c + CHUNK] for c in range(0, max(len(data), len(other)), CHUNK)) if len(data) else len(other):
-                        bad.append(i)
+                    group, data = g, text.as_buffer()
+                    continue
+                here, other = memoryview(data), memoryview(text.as_buffer())  # slices of views aren't copies
+                if len(here) != len(other) or any(here[c : c + CHUNK] != other[c : c + CHUNK] for c in range(0, len(here), CHUNK)):
+                    bad.append(i)
             if bad:
-                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(pa.array(bad)), x.column("text_sha256").take(pa.array(bad))], ["doc_id", "text_sha256"])
+                yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(bad)) for c in ("doc_id", "key")], ["doc_id", "key"])
 
-    def views(batches):  # memoryviews of buffers slice without copies
-        yield from compare(batches)
+    rows = rows.select(*on, "salt", "first", "doc_id", "key", _normal(F.col("text")).alias("data"))
+    return rows.repartition(*on, "salt").sortWithinPartitions(*on, "salt", F.desc("first")).mapInArrow(compare, "doc_id long, key long")
 
-    return rows.select(*on, "salt", "first", "doc_id", "text_sha256", "data").repartition(*on, "salt").sortWithinPartitions(*on, "salt", F.desc("first")).mapInArrow(views, "doc_id long, text_sha256 string")
 
+def _decide(slim: DataFrame, moduli, max_rounds: int, huge_bytes: int) -> DataFrame:
+    """doc_id, key, keep_id, group_size, kept, text_sha256 of the rows of _slim()."""
+    on, todo, done = ["n_bytes", "fp1", "fp2"], slim, []
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, moduli: tuple[int, int] = MODULI, max_rounds: int = 50) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    def grouped(prints: DataFrame) -> DataFrame:
+        best = prints.groupBy(*on).agg(F.min(order).alias("m"), F.count("*").alias("group_size")).where("group_size > 1")
+        return written(best.select(*on, F.col("m.doc_id").alias("keep_id"), F.col("m.row").alias("keep_row"), "group_size"), "groups")
 
-    Fingerprints of all rows are written once (about 100 bytes a row). Only groups of two or more
-    move text for the comparison; a large group is salted, with its first row copied to each salt.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    on, todo, done = ["n_bytes", "fp1", "fp2"], slim, []
     for seed in range(max_rounds):
-        prints = written(_fingerprints(todo, moduli if seed == 0 else MODULI, seed).withColumn("row", F.monotonically_increasing_id()), "prints")
-        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "text_sha256")
-        groups = written(prints.groupBy(*on).agg(F.min(order).alias("m"), F.count("*").alias("group_size")).where("group_size > 1").select(*on, F.col("m.doc_id").alias("keep_id"), F.col("m.row").alias("keep_row"), F.col("m.text_sha256").alias("keep_sha"), "group_size"), "groups")
-        bad = written(_differing(todo, groups.drop("keep_row"), moduli if seed == 0 else MODULI, seed), "collisions")
+        prints = written(_fingerprints(todo, moduli if seed == 0 else MODULI, seed, huge_bytes).withColumn("row", F.monotonically_increasing_id()), "prints")
+        groups = grouped(prints)
+        bad = written(_differing(todo, prints, groups), "collisions")
         again = bool(bad.take(1))
+        settled = prints
         if again:
-            apart = bad.distinct()
-            settled = prints.join(apart, prints["doc_id"].eqNullSafe(apart["doc_id"]) & (prints["text_sha256"] == apart["text_sha256"]), "left_anti")
-            groups = written(settled.groupBy(*on).agg(F.min(order).alias("m"), F.count("*").alias("group_size")).where("group_size > 1").select(*on, F.col("m.doc_id").alias("keep_id"), F.col("m.row").alias("keep_row"), "group_size"), "groups")
-        else:
-            settled = prints
-        out = settled.join(groups.select(*on, "keep_id", "keep_row", "group_size"), on, "left")
+            apart = bad.distinct().withColumnsRenamed({"doc_id": "a_id", "key": "a_key"})
+            same = (F.col("key") == F.col("a_key")) & F.col("doc_id").eqNullSafe(F.col("a_id"))
+            settled = prints.join(apart, same, "left_anti")
+            groups = grouped(settled)
+        out = settled.join(groups, on, "left")
         alone = F.col("group_size").isNull()
-        done.append(out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256"))
+        done.append(out.select(
+            "doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+            (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256",
+        ))
         if not again:
             break
-        sha = F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS_SQL, " "), "UTF-8"), 256)
-        todo = written(todo.withColumn("s", sha).alias("t").join(apart.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.s") == F.col("a.text_sha256")), "left_semi").select("doc_id", "text"), "apart")
+        todo = written(todo.join(apart, same, "left_semi"), "apart")
     else:
         raise RuntimeError("fingerprints still collide")
     result = done[0]
@@ -172,10 +204,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return result
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, moduli: tuple[int, int] = MODULI, max_rounds: int = 50, huge_bytes: int = HUGE) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Fingerprints of all rows are written once (about 100 bytes a row). Only groups of two or more
+    move text for the comparison; a large group is salted, with its first row copied to each salt.
+    """
+    return _decide(_slim(docs, id_col, text_col), moduli, max_rounds, huge_bytes).drop("key")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), BLANKS_SQL, " "), "UTF-8"), 256)
-    rows = docs.withColumn("__key", sha).join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
-    one = Window.partitionBy("__id", "__sha").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text any one stays.
+
+    Rows that nothing equals are passed on by the scan; only possible copies are shuffled.
+    """
+    made = _decide(_slim(docs, id_col, text_col), MODULI, 50, HUGE)
+    touched = made.groupBy("doc_id", "key").agg(F.sum(F.col("kept").cast("long")).alias("__stay"), F.count("*").alias("n")).where("n > __stay")
+    touched = written(touched.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__stay"), "touched")
+    key = F.xxhash64(docs[id_col].cast("long"), docs[text_col])
+    maybe = possible(touched.select("__key"))
+    doubtful = docs.where(maybe(key)).join(touched.hint("merge"), (key == F.col("__key")) & docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    one = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
+    single = doubtful.where("__stay = 1").withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return docs.where(~maybe(key)).union(doubtful.where("__stay is null").select(*docs.columns)).union(single.select(*docs.columns))
