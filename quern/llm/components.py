@@ -2,8 +2,7 @@
 
 Every round is a few shuffles over at most two rows per edge, written to the shared folder, so that
 lineage stays short and a lost executor costs one round; the table of the round before is deleted.
-Nodes with more than max(HEAVY, edges / 50,000) edges, at most 100,000 of them whatever the data, get their
-minimum by a broadcast join, so the edges of a hub stay where they are. Nothing is collected but two numbers.
+The edges of a hub stay where they are: its minimum is broadcast (see hot.py). Nothing is collected but two numbers.
 """
 
 from __future__ import annotations
@@ -11,25 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm._io import dropped, written_at
+from quern.llm.hot import join_hot
 
-#: Edges of one node up to which they may meet in one task.
-HEAVY = 500
 
-
-def _with_least(edges: DataFrame, least: DataFrame, heavy: int) -> DataFrame:
-    """edges (u, v) joined with least (u, m, n); the rows of a heavy u aren't shuffled."""
-    big = F.broadcast(least.where(F.col("n") > heavy).select("u", "m"))
-    light = edges.join(big.select("u"), "u", "left_anti").join(least.where(F.col("n") <= heavy).select("u", "m"), "u")
-    return light.unionByName(edges.join(big, "u"))
-
-
-def _round(edges: DataFrame, heavy: int) -> DataFrame:
+def _round(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    large = _with_least(both, low, heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = join_hot(both, low, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    small = _with_least(down, least, heavy)
+    small = join_hot(down, least, ["u"], "n", 2 * total)
     return small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -44,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = print_of(now)
     if before[0]:
         for _ in range(max_rounds):
-            new, new_path = written_at(_round(now, max(HEAVY, before[0] // 50_000)), "edges")
+            new, new_path = written_at(_round(now, before[0]), "edges")
             dropped(path)
             now, path = new, new_path
             after = print_of(now)

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.llm._io import written
-from quern.llm.keyfilter import possible
+from quern.llm.hot import join_hot
 from quern.llm.jaccard_join import _groups
+from quern.llm.keyfilter import possible
 
 CHUNK = 1 << 15
 MODULI = (2147483647, 2147483629)
@@ -137,7 +138,7 @@ def _fingerprints(docs: DataFrame, moduli, seed: int, huge_bytes: int) -> DataFr
 def _differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, key) of rows whose text isn't that of the row that stays, by streaming comparison."""
     on = ["n_bytes", "fp1", "fp2"]
-    members = prints.join(groups.hint("merge"), on)  # one plan at every size
+    members = join_hot(prints, groups, on, "group_size", prints.count())
     members = members.groupBy("doc_id", "key", *on).agg(F.max(F.col("row") == F.col("keep_row")).alias("first"), F.first("group_size").alias("group_size"))
     members = written(members, "members")
     maybe = possible(members.select("key"))
@@ -187,7 +188,7 @@ def _decide(slim: DataFrame, moduli, max_rounds: int, huge_bytes: int) -> DataFr
             same = (F.col("key") == F.col("a_key")) & F.col("doc_id").eqNullSafe(F.col("a_id"))
             settled = prints.join(apart, same, "left_anti")
             groups = grouped(settled)
-        out = settled.join(groups, on, "left")
+        out = join_hot(settled, groups, on, "group_size", prints.count(), "left")
         alone = F.col("group_size").isNull()
         done.append(out.select(
             "doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

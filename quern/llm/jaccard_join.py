@@ -6,9 +6,10 @@
    connected are compared some MinHash values at a time; a pair goes as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold is below the tolerance.
    The rest connect clusters: one edge for each member at most, however large the bucket.
-3. Inside a cluster, cut into blocks of bounded size, each pair runs through the same pruning
-   and the survivors are verified exactly on their shingle sets. Only sums of links and a spanning
-   forest leave a task.
+3. Members of clusters are read again and cut into shingles once; the other documents stay in the scan. Inside a
+   cluster, cut into blocks of bounded rows and shingles, each pair runs through the same pruning and the
+   survivors are verified exactly on their shingle sets, which travel packed. Only sums of links and a
+   spanning forest leave a task.
 
 Defined results: rows with a null doc_id give class_id null and n_links 0 (unless doc_id is null
 they take part); null, empty and blank texts have no shingles, link to nothing, and are their own
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from quern.llm import shingles as sh
 from quern.llm._io import written
 from quern.llm.components import connected_components
+from quern.llm.hot import join_hot
+from quern.llm.keyfilter import possible
 
 STEP = 8
 
@@ -104,21 +107,18 @@ def _bucket_edges(reps: np.ndarray, sig: np.ndarray, least) -> list[tuple[int, i
     return edges
 
 
-def _verify(reps, mult, left, right, sig, texts, digests, k, threshold, least):
-    """Links between left and right rows of a block pair: (links of each row, forest edges)."""
-    sets = [sh.shingle_set(t, k) for t in texts]
-    ok = np.array([sh.set_digest(s) == d for s, d in zip(sets, digests, strict=True)])
-    _, first = np.unique(reps[ok], return_index=True)
-    rows = np.flatnonzero(ok)[first]  # a repeated doc_id with another text is not the representative
-    reps, mult, left, right, sig = reps[rows], mult[rows], left[rows], right[rows], sig[rows]
-    sets = [sets[i] for i in rows]
+def _verify(nodes, mult, left, right, sig, packed, threshold, least):
+    """Links between left and right rows of a block pair: (nodes, links of each, forest edges)."""
+    _, rows = np.unique(nodes, return_index=True)  # a row that repeats id and text comes more than once
+    nodes, mult, left, right, sig = nodes[rows], mult[rows], left[rows], right[rows], sig[rows]
+    sets = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in rows.tolist()]
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
     seen = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
-    links, edges, parent = np.zeros(len(reps), np.int64), [], list(range(len(reps)))
-    for i in range(len(reps)):
-        other = np.flatnonzero(right & (np.arange(len(reps)) > i) if left[i] and right[i] else (right if left[i] else np.zeros(len(reps), bool)))
+    links, edges, parent = np.zeros(len(nodes), np.int64), [], list(range(len(nodes)))
+    for i in range(len(nodes)):
+        other = np.flatnonzero(right & (np.arange(len(nodes)) > i) if left[i] and right[i] else (right if left[i] else np.zeros(len(nodes), bool)))
         if not len(other):
             continue
         other = other[survivors(sig[i], sig[other], least)]
@@ -135,13 +135,13 @@ def _verify(reps, mult, left, right, sig, texts, digests, k, threshold, least):
             a, b = _root(parent, i), _root(parent, int(j))
             if a != b:
                 parent[a] = b
-                edges.append((int(reps[i]), int(reps[j])))
-    return reps, links, edges
+                edges.append((int(nodes[i]), int(nodes[j])))
+    return nodes, links, edges
 
 
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, threshold: float = 0.8,
-    bands: int = 24, rows: int = 4, tolerance: float = 1e-6, bucket_rows: int = 4096, block_rows: int = 512,
+    bands: int = 24, rows: int = 4, tolerance: float = 1e-6, bucket_rows: int = 4096, block_rows: int = 1024, block_shingles: int = 1 << 20,
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), n_links (other documents at the threshold), text_key (hash of the text).
 
@@ -152,14 +152,19 @@ def jaccard_join(
 
     def sign(batches):
         for x in batches:
-            sets = [sh.shingle_set(t, k) for t in x.column(1).to_pylist()]
-            yield pa.record_batch([x.column(0), x.column(2), pa.array([sh.set_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([sh.minhash(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_key", "digest", "sig"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(slim.withColumn("text_key", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_key long, digest binary, sig binary"), "signed")
-    reps = written(signed.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("sig").alias("sig")), "reps")
+            for s in range(0, x.num_rows, 256):  # the sets of a few texts at a time
+                part = x.slice(s, 256)
+                sets = [sh.shingle_set(t.as_py(), k) for t in part.column("text")]
+                digests = pa.array([sh.set_digest(v) if len(v) else None for v in sets], pa.binary())
+                sigs = pa.array([sh.minhash(v, a, b).tobytes() if len(v) else None for v in sets], pa.binary())
+                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), digests, sigs, pa.array([len(v) for v in sets], pa.int32())], ["doc_id", "text_key", "digest", "sig", "n"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    signed = written(slim.mapInArrow(sign, "doc_id long, text_key long, digest binary, sig binary, n int"), "signed")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    reps = signed.where("doc_id is not null and digest is not null").groupBy("digest").agg(first, F.count("*").alias("mult"), F.first("sig").alias("sig"), F.first("n").alias("size"))
     # representatives are smallest ids; a repeated doc_id can represent two texts, so nodes are numbered by text
-    reps = reps.withColumn("node", F.xxhash64("rep", "digest"))
+    reps = written(reps.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "mult", "sig", "size"), "reps").withColumn("node", F.xxhash64("rep", "digest"))
 
     keys = reps.select("node", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substring(sig, b * {4 * rows} + 1, {4 * rows})))")).alias("key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -180,19 +185,32 @@ def jaccard_join(
 
     edges = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(connect, "u long, v long")
     cluster = written(connected_components(edges), "clusters")
-    sizes = cluster.groupBy("root").agg(F.count("*").alias("n"))
-    nb = F.ceil(F.col("n") / block_rows).cast("int")
-    wanted = cluster.join(sizes, "root").join(reps, "node").select("root", "node", "rep", "mult", "sig", "digest", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("mine"))
+    members = cluster.join(reps, "node")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int").alias("nb"))
+    wanted = members.join(sizes, "root").select("root", "node", "rep", "rep_key", "mult", "sig", "nb", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int").alias("mine"))
     wanted = written(wanted, "wanted")
-    blocks = slim.join(wanted.hint("merge"), slim["doc_id"] == wanted["rep"]).withColumn("theirs", F.explode(F.expr("sequence(0, nb - 1)")))
-    blocks = blocks.select("root", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"), "mine", "node", "mult", "sig", "digest", "text")
+    maybe = possible(wanted.select(F.xxhash64("rep", "rep_key")))
+    texts = slim.where(maybe(F.xxhash64("doc_id", "text_key"))).join(wanted.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
+
+    def shingle(batches):
+        keep = ["root", "node", "mult", "nb", "mine", "sig"]
+        for x in batches:
+            for s in range(0, x.num_rows, 256):
+                part = x.slice(s, 256)
+                packed = pa.array([sh.shingle_set(t.as_py(), k).tobytes() for t in part.column("text")], pa.binary())
+                yield pa.record_batch([*(part.column(c) for c in keep), packed], [*keep, "shingles"])
+
+    sets = texts.select("root", "node", "mult", "nb", "mine", "sig", "text").mapInArrow(shingle, "root long, node long, mult long, nb int, mine int, sig binary, shingles binary")
+    blocks = sets.withColumn("theirs", F.explode(F.expr("sequence(0, nb - 1)")))
+    blocks = blocks.select("root", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"), "mine", "node", "mult", "sig", "shingles")
 
     def verify(batches):
         for (_, x, y), t in _groups(batches, ["root", "x", "y"]):
             mine = np.asarray(t["mine"])
-            r, links, es = _verify(np.asarray(t["node"]), np.asarray(t["mult"]), mine == x, mine == y, _matrix(t["sig"]), t["text"].to_pylist(), t["digest"].to_pylist(), k, threshold, least)
+            r, links, es = _verify(np.asarray(t["node"]), np.asarray(t["mult"]), mine == x, mine == y, _matrix(t["sig"]), t["shingles"].combine_chunks(), threshold, least)
             some = links > 0
-            yield pa.record_batch([pa.array(np.concatenate([r[some], [e[0] for e in es]]).astype(np.int64)), pa.array([None] * int(some.sum()) + [e[1] for e in es], pa.int64()), pa.array([*links[some].tolist(), *[0] * len(es)], pa.int64())], ["u", "v", "links"])
+            u = np.concatenate([r[some], [e[0] for e in es]]).astype(np.int64)
+            yield pa.record_batch([pa.array(u), pa.array([None] * int(some.sum()) + [e[1] for e in es], pa.int64()), pa.array([*links[some].tolist(), *[0] * len(es)], pa.int64())], ["u", "v", "links"])
 
     checked = written(blocks.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(verify, "u long, v long, links long"), "checked")
     linked = checked.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -200,16 +218,21 @@ def jaccard_join(
     found = groups.join(reps.select("node", "rep"), "node")
     first = found.groupBy("root").agg(F.min("rep").alias("class_id"))
     final = reps.select("node", "digest", "rep", "mult").join(found.select("node", "root").join(first, "root").select("node", "class_id"), "node", "left").join(linked, "node", "left")
-    final = final.select(F.col("digest").alias("of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    kept = signed.select("doc_id", "text_key", "digest").withColumn("d", F.when(F.col("doc_id").isNotNull(), F.col("digest")))
-    out = kept.join(final, kept["d"] == final["of"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key")
+    final = final.select("digest", "mult", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    some = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    none = signed.where(~some).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_key")
+    out = join_hot(signed.where(some), final, ["digest"], "mult", signed.count())
+    return out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "text_key").union(none)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are alone or first of their near-duplicate group; rows with a null id stay.
 
-    Rows are told apart by doc_id and text. Rows that repeat both share their fate.
+    Rows are told apart by doc_id and text. Rows that repeat both share their fate. Only rows that may go are shuffled.
     """
     gone = jaccard_join(docs, id_col, text_col, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone.hint("merge"), (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    gone = written(gone, "gone")
+    maybe = possible(gone.select(F.xxhash64("__gone", "__key")))
+    doubtful = maybe(F.xxhash64(docs[id_col].cast("long"), F.xxhash64(docs[text_col])))
+    same = (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__key"))
+    return docs.where(~doubtful).union(docs.where(doubtful).join(gone.hint("merge"), same, "left_anti"))

@@ -6,25 +6,26 @@ languages on either side of the bit); its margin, the mean weight of a text's n-
 logistic fit. Decoding is loss-weighted: each bit votes with its reliability, the language
 with the least loss wins, and where the runner-up is about as near the text is flagged ambiguous.
 
-Fitting uses at most `per_lang` labelled rows of each language (those with the smallest hash of doc_id),
-a documented bound; predictions read every row and whole texts.
+Fitting uses at most `per_lang` labelled rows of each language (those with the smallest hash of doc_id) and the
+`max_langs` labels with the most rows, two documented bounds; predictions read every row and whole texts.
 
-Defined results: null text and text without a letter give `und`, score 0; with nothing to learn
+Defined results: null text and text without a letter (general category L; digits and number signs of
+any script aren't letters) give `und`, score 0; with nothing to learn
 from every row is `und`; rows with null or repeated ids are predicted like others; a null doc_id is in
 neither fold's training (held_out false); extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 GRAMS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 AMBIGUOUS = 0.05
 
 
@@ -123,15 +124,23 @@ def fit(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
     return Model(langs, code, (weights * scale).astype(np.float32), bias, trust * len(trust) / trust.sum())
 
 
-def training_rows(docs: DataFrame, per_lang: int) -> DataFrame:
+def training_rows(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
+    """doc_id, lang, text of the rows to learn from.
+
+    Rows over a hash threshold, set for each label so that four times per_lang are expected under it, are left out by the scan;
+    the window sees the others only, so a label with a third of all rows costs no more than a small one.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 1))
-    pick = Window.partitionBy("lang").orderBy("o", "doc_id")
-    ids = seen.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("o")).withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_lang).select("doc_id").distinct()
-    return seen.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")  # per_lang rows of each label at most
+    seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 1)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    langs = seen.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(max_langs)
+    near = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)).cast("double") < F.lit(float(1 << 42) * per_lang) / F.col("c")
+    ids = seen.select("doc_id", "lang").join(F.broadcast(langs), "lang").where(near)  # max_langs rows are broadcast
+    pick = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)), "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
+    return seen.join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang rows of each of max_langs labels at most
 
 
-def train(docs: DataFrame, *, per_lang: int = 400) -> Model:
+def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 256) -> Model:
     """Only text and lang of rows whose crc32(doc_id) mod 3 isn't 1 are learned from."""
 
     def count(batches):
@@ -143,7 +152,7 @@ def train(docs: DataFrame, *, per_lang: int = 400) -> Model:
                 yield pa.record_batch([part.column("lang"), pa.array([i.astype("<i4").tobytes() for i in nz]), pa.array([g[i].astype("<i4").tobytes() for g, i in zip(got, nz, strict=True)])], ["lang", "at", "n"])
 
     counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for r in training_rows(docs, per_lang).mapInArrow(count, "lang string, at binary, n binary").toLocalIterator():
+    for r in training_rows(docs, per_lang, max_langs).mapInArrow(count, "lang string, at binary, n binary").toLocalIterator():
         if len(counts.setdefault(r["lang"], [])) < per_lang and len(r["at"]):
             counts[r["lang"]].append((np.frombuffer(bytes(r["at"]), "<i4"), np.frombuffer(bytes(r["n"]), "<i4")))
     return fit({k: v for k, v in counts.items() if v})

@@ -9,8 +9,8 @@ hold over a whole phase. A phase ends when a source has no blocks left, and the
 weights scaled up. The driver runs through the slots and keeps only the counts at the head of each stretch
 of them; tasks run the stretches again and give the slot of each block. No row is dropped or repeated.
 
-Defined results: a null source is a source; rows with null or repeated doc_id are placed like others;
-empty tables give no rows; the last block of a source may be short; extra columns are passed on.
+Defined results: a null source is a source; rows with null or repeated doc_id are placed like others, by the
+hash of all their columns, so that only rows that are equal throughout tie; empty tables give no rows; the last block of a source may be short; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def slots(stretch: tuple, weights: list[int]) -> tuple[np.ndarray, np.ndarray, n
     return np.asarray(live, np.int64)[turn], block, start + t + np.arange(n)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, weights: dict | None = None, temper: float = 0.5, block_rows: int = 16, seed: int = 3, max_sources: int = 512, bucket_rows: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, weights: dict | None = None, temper: float = 0.5, block_rows: int = 16, seed: int = 3, max_sources: int = 512, bucket_rows: int = 8192) -> DataFrame:
     """docs with __block (in its source), __slot (of the mixture) and __at (position of the row).
 
     Without weights a source gets rows^temper. One row for each source reaches the driver, at most max_sources.
@@ -145,7 +145,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     steps = stretches.mapInArrow(placed, "__p string, __pb long, __slot long")
 
     salts = F.create_map(*(F.lit(x) for s, n in sizes.items() for x in (s, max(1, -(-n // bucket_rows))))) if sizes else F.create_map(F.lit(""), F.lit(1))
-    rows = docs.withColumn("__s", name).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    rows = docs.withColumn("__s", name).withColumn("__h", F.xxhash64(F.lit(seed), *(docs[c] for c in hashed)))
     rows = rows.withColumn("__salt", F.pmod("__h", salts[F.col("__s")].cast("long")))
     counts = rows.groupBy("__s", "__salt").agg(F.count("*").alias("n"))
     before = counts.select(F.col("__s").alias("__bs"), F.col("__salt").alias("__bsalt"), "n", (F.sum("n").over(Window.partitionBy("__s").orderBy("__salt")) - F.col("n")).alias("__before"))

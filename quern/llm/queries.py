@@ -37,9 +37,11 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
     from quern.llm.packing import pack
 
-    return pack(_read(spark, d, "documents"))
+    return pack(_read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6(spark: SparkSession, d: str) -> DataFrame:

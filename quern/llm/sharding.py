@@ -1,13 +1,15 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters rows uniformly into memory-sized buckets by a seeded hash. Pass two takes each
-bucket into memory, puts it into an order that doesn't depend on arrival, runs a seeded Fisher-Yates
-shuffle over it and writes it. The row at global position p (buckets in turn) goes to shard p mod n,
-slot p div n, so the counts of shards differ by one at most (law `rows`) and slots have no gaps.
+Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of the row; each bucket is a
+partition of its own. Pass two takes a bucket into memory, puts it into an order that doesn't depend on
+arrival, runs a seeded Fisher-Yates shuffle over it and writes it to the shards. The row at global position p
+(buckets in turn) goes to shard p mod n, slot p div n, so the counts of shards differ by one at most (law
+`rows`) and slots have no gaps. Seed and rows alone decide: other files or partitions give the same order.
 
 Defined results: null text has size 1 and the crc32 of an empty text; rows with null or repeated
-doc_id are placed like others (the hash takes the text in too); an empty table gives no rows; extra
-columns are carried into the written shards.
+doc_id are placed like others (the hash takes all columns in, but for maps, which have none); rows that
+are equal throughout are interchangeable; an empty table gives no rows; extra columns are carried into
+the written shards, but for those named in OWN, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.llm._io import written
+from quern.llm._io import work_dir
 
-#: Rows of 12 bytes up to which the offsets of buckets are broadcast; 48 MB buckets reach it at 190 TB.
-SMALL_TABLE = 4_000_000
+#: More buckets are never made, so their offsets (16 bytes each) can be broadcast; from 48 TB on buckets grow beyond bucket_bytes.
+MOST_BUCKETS = 1_000_000
+#: Columns that the operator makes.
+OWN = ("__size", "__crc32", "slot", "shard", "__order", "__bucket", "__before")
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -32,24 +36,37 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return p
 
 
-def shuffle_to_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_shards: int = 16, seed: int = 42, bucket_bytes: int = 48 << 20) -> DataFrame:
-    """The rows of docs with __size, __crc32, shard and slot; written bucket by bucket."""
-    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 200)).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    salted = docs.withColumn("__order", F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col), F.spark_partition_id(), F.monotonically_increasing_id()))
-    scattered = salted.withColumn("__bucket", F.pmod("__order", F.lit(buckets)).cast("int")).repartition(buckets, "__bucket").sortWithinPartitions("__bucket", "__order")
+def write_shards(docs: DataFrame, text_col: str = "text", *, n_shards: int = 16, seed: int = 42, bucket_bytes: int = 48 << 20) -> str:
+    """Write the rows of docs with __size, __crc32 and slot into folders shard=0 to shard=n-1; returns the folder's URI.
+
+    A file holds the rows that one bucket gives to one shard, by ascending slot.
+    """
+    docs = docs.drop(*OWN)
+    wide = [f.name for f in docs.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    weight = sum((F.coalesce(F.octet_length(docs[c]), F.lit(0)) for c in wide), F.lit(200))
+    total = docs.agg(F.sum(weight)).first()[0] or 0
+    buckets = min(max(1, -(-total // bucket_bytes)), MOST_BUCKETS)
+    hashed = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.xxhash64(F.lit(seed), *hashed)
+    counts = docs.select(F.pmod(order, F.lit(buckets)).cast("int").alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("__bucket").alias("__b"), (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))  # a row for each bucket
+    placed = docs.withColumn("__order", order).withColumn("__bucket", F.pmod("__order", F.lit(buckets)).cast("int"))
+    placed = placed.join(F.broadcast(before), F.col("__bucket") == F.col("__b")).drop("__b")
+    scattered = placed.repartitionById(buckets, F.col("__bucket")).sortWithinPartitions("__bucket", "__order", F.xxhash64(F.lit(seed + 1), *hashed))
     keep = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("__bucket", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("__at", "__size", "__crc32"))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__size", T.LongType()), T.StructField("__crc32", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     out = list(to_arrow_schema(schema))
 
     def emit(bucket: int, parts: list):
         table = pa.Table.from_batches(parts)
+        at = table.column("__before")[0].as_py() + np.arange(table.num_rows)
         table = table.take(pa.array(fisher_yates(table.num_rows, seed * 1_000_003 + bucket)))
-        for b_at in range(0, table.num_rows, 2000):
-            part = table.slice(b_at, 2000)
-            texts = [(t or "").encode() for t in part.column(text_col).to_pylist()]
+        turn = np.lexsort((at, at % n_shards))  # shard after shard, so that the writer has one file open
+        for s in range(0, len(turn), 2000):
+            part, pos = table.take(pa.array(turn[s : s + 2000])), at[turn[s : s + 2000]]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(text_col).to_pylist()]
             cols = [pa.concat_arrays(part.column(c).chunks) for c in keep]
-            cols += [pa.array([bucket] * len(texts), pa.int32()), pa.array(range(b_at, b_at + len(texts)), pa.int64()), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
+            cols += [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(pos // n_shards), pa.array((pos % n_shards).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=pa.schema(out))
 
     def second_pass(batches):
@@ -66,10 +83,17 @@ def shuffle_to_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held:
             yield from emit(now, held)
 
-    placed = written(scattered.mapInArrow(second_pass, schema), "shards")
-    counts = placed.groupBy("__bucket").agg(F.count("*").alias("n"))
-    before = counts.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))  # a row for each bucket
-    before = F.broadcast(before) if buckets <= SMALL_TABLE else before  # else the written rows would be shuffled from some size on
-    at = F.col("__before") + F.col("__at")
-    return placed.join(before, "__bucket").withColumn("shard", F.pmod(at, F.lit(n_shards)).cast("int")).withColumn("slot", F.floor(at / n_shards).cast("long")).drop("__bucket", "__at", "__before")
+    path = work_dir(docs.sparkSession, "shards")
+    scattered.mapInArrow(second_pass, schema).write.partitionBy("shard").parquet(path)
+    return path
+
+
+def read_shards(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """The rows of written shards: columns (of the table that was written), __size, __crc32, slot and shard."""
+    schema = T.StructType([*(f for f in columns.fields if f.name not in OWN), T.StructField("__size", T.LongType()), T.StructField("__crc32", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)
+
 
+def shuffle_to_shards(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs with __size, __crc32, slot and shard, read back from the written shards."""
+    return read_shards(docs.sparkSession, write_shards(docs, text_col, **options), docs.schema)

@@ -8,6 +8,9 @@ only differing runs of one bucket are suffix-sorted, by the difference-cover alg
 `width`, and neighbours in that order are compared. That bounds the text to sort to the seams
 of repeated passages, and no task needs the corpus.
 
+Runs that are equal within a batch of documents are counted there, before the shuffle, and one of them is
+dealt to its bucket; so a line that a third of all documents share brings a bucket one row for each batch.
+
 Defined results: null text is empty; strings never cross documents; rows that repeat a doc_id count
 as separate documents; the last bytes that start no full string are removed only if a repeated
 string covers them. Extra columns are not read.
@@ -127,15 +130,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out[3].append((hi - lo + 1).astype(np.int32))
                 rows.append(np.full(len(lo), i))
             if rows:
-                at = pa.array(np.concatenate(rows))
-                cols = [pa.array(np.concatenate(c)) for c in out]
+                at = np.concatenate(rows)
+                bucket, digest, lo, n = (np.concatenate(c) for c in out)
+                # the first of equal runs of a batch stands for the others, which are repeats whatever else there is
+                order = np.lexsort((digest, bucket))
+                new = np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (digest[order][1:] != digest[order][:-1])])
+                first = np.flatnonzero(new)
+                copies = np.zeros(len(at), np.int32)
+                copies[order[first]] = np.diff(np.concatenate([first, [len(at)]]))
                 for s in range(0, len(at), 100_000):
-                    p = at.slice(s, 100_000)
-                    yield pa.record_batch([ids.take(p), keys.take(p), *(c.slice(s, 100_000) for c in cols)], [*key, "bucket", "digest", "lo", "n"])
+                    p = pa.array(at[s : s + 100_000])
+                    yield pa.record_batch([ids.take(p), keys.take(p), *(pa.array(c[s : s + 100_000]) for c in (bucket, digest, lo, n, copies))], [*key, "bucket", "digest", "lo", "n", "copies"])
 
-    found = slim.mapInArrow(scan, "doc_id long, text_key long, bucket long, digest long, lo long, n int")
+    seen = written(slim.mapInArrow(scan, "doc_id long, text_key long, bucket long, digest long, lo long, n int, copies int"), "seen")
     by_bucket, by_run = Window.partitionBy("bucket"), Window.partitionBy("bucket", "digest")
-    found = found.withColumn("in_run", F.count("*").over(by_run)).withColumn("nth", F.row_number().over(by_run.orderBy(*key, "lo"))).withColumn("in_bucket", F.count("*").over(by_bucket)).where("in_bucket > 1")
+    found = seen.where("copies > 0").withColumn("in_run", F.sum("copies").over(by_run)).withColumn("nth", F.row_number().over(by_run.orderBy(*key, "lo")))
+    found = found.withColumn("in_bucket", F.sum("copies").over(by_bucket)).where("in_bucket > 1")
     found = written(found.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_bucket)), "runs")
 
     asked = found.where("nth = 1 and kinds > 1").groupBy(*key).agg(F.collect_list(F.struct("bucket", "digest", "lo", "n", "kinds")).alias("asked"))
@@ -203,7 +213,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = texts.select(*key, "text", "asked").mapInArrow(cut, "home long, bucket long, digest long, off int, data binary")
     sorted_out = written(pieces.repartition("home").sortWithinPartitions("home", "bucket", "digest", "off").mapInArrow(sort, "bucket long, digest long, a long, b long").distinct(), "repeats")
 
-    whole = found.where("in_run > 1").select(*key, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
+    repeated = found.where("in_run > 1").select(*key, "lo", "n").union(seen.where("copies = 0").select(*key, "lo", "n"))
+    whole = repeated.select(*key, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
     partly = found.where("in_run = 1").join(sorted_out, ["bucket", "digest"]).select(*key, (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + width).alias("e"))
     spans = written(whole.union(partly).groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), "spans")
 

@@ -29,6 +29,8 @@ from quern.llm._io import make_dir, open_fs, work_dir, written
 
 MAGIC = b"QTOK0001"
 NULL_KEY = -(2**63)
+#: More shards are never made, so their key bounds (20 bytes each) can be broadcast; from 12 TB of text on shards grow.
+MOST_SHARDS = 500_000
 BUCKET_KEYS = 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -198,7 +200,9 @@ def encoder(path: str) -> Encoder:
 
 
 def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, shard_bytes: int = 24 << 20) -> DataFrame:
-    """Write the shards; returns the manifest (shard, data, index, n_docs, n_ids), one row for each shard, in doc_id order.
+    """Write the shards; returns the manifest (shard, data, index, n_docs, n_ids, low, high), one row for each shard, in doc_id order.
+
+    low and high are the least and greatest key of the shard (a null doc_id has the key NULL_KEY).
 
     A task that is run again writes other files; only the ones in the manifest count.
     """
@@ -207,7 +211,7 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 32)).first()[0] or 0
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    ranged = slim.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order)
+    ranged = slim.repartitionByRange(min(max(1, -(-total // shard_bytes)), MOST_SHARDS), *order).sortWithinPartitions(*order)
 
     def write(batches):
         from pyspark import TaskContext
@@ -232,35 +236,123 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         if coder is not None:
             out.close()
             n = np.concatenate(counts)
+            doc_ids, null = np.concatenate(ids), np.concatenate(nulls)
             with fs.open_output_stream(f"{path}/{name}.idx") as f:
-                f.write(index_bytes(np.concatenate(ids), np.concatenate(nulls), np.concatenate([[0], np.cumsum(n)]), coder.kind.itemsize))
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{where}/{name}.ids"]), pa.array([f"{where}/{name}.idx"]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "data", "index", "n_docs", "n_ids"])
-
-    return written(ranged.mapInArrow(write, "shard int, data string, index string, n_docs long, n_ids long"), "manifest")
-
-
-def lookup(index_uri: str, data_uri: str, keys: np.ndarray) -> list[list[np.ndarray]]:
-    """Ids of all documents of each key in one shard, by index and seek, not by scan."""
-    fs, path = open_fs(index_uri)
-    with fs.open_input_file(path) as f:
-        index = Index(f.read())
-    fs, path = open_fs(data_uri)
-    out = []
-    with fs.open_input_file(path) as f:
-        for key, at in zip(keys, index.find(np.asarray(keys, np.int64)), strict=True):
-            docs = []
-            while 0 <= at < len(index.doc_id) and (NULL_KEY if index.null[at] else index.doc_id[at]) == key:
-                f.seek(int(index.offset[at]) * index.width)
-                docs.append(np.frombuffer(f.read(int(index.offset[at + 1] - index.offset[at]) * index.width), f"<u{index.width}"))
-                at += 1
-            out.append(docs)
+                f.write(index_bytes(doc_ids, null, np.concatenate([[0], np.cumsum(n)]), coder.kind.itemsize))
+            keys = np.where(null, NULL_KEY, doc_ids)
+            whole = [pa.array([int(v)], pa.int64()) for v in (len(n), n.sum(), keys.min(), keys.max())]
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{where}/{name}.ids"]), pa.array([f"{where}/{name}.idx"]), *whole], ["shard", "data", "index", "n_docs", "n_ids", "low", "high"])
+
+    return written(ranged.mapInArrow(write, "shard int, data string, index string, n_docs long, n_ids long, low long, high long"), "manifest")
+
+
+class Shard:
+    """Keyed access to one shard by a fixed number of small reads for each key; nothing is scanned or loaded whole."""
+
+    def __init__(self, index_uri: str, data_uri: str):
+        fs, path = open_fs(index_uri)
+        self.index = fs.open_input_file(path)
+        fs, path = open_fs(data_uri)
+        self.data = fs.open_input_file(path)
+        head = self._read(0, len(MAGIC) + 40)
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token index")
+        self.width, self.n, self.m, self.buckets, self.seed = (int(x) for x in np.frombuffer(head, "<i8", 5, len(MAGIC)))
+        self.at = {}
+        at = len(MAGIC) + 40
+        for name, count, size in (("doc_id", self.n, 8), ("offset", self.n + 1, 8), ("entry", self.m, 8), ("pilot", self.buckets, 4), ("fingerprint", self.m, 4), ("null", self.n, 1)):
+            self.at[name] = at
+            at += count * size
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.index.seek(at)
+        return self.index.read(n)
+
+    def _value(self, name: str, i: int, kind: str) -> int:
+        size = np.dtype(kind).itemsize
+        return int(np.frombuffer(self._read(self.at[name] + i * size, size), kind)[0])
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """Ids of all documents of the key, in order; none where the fingerprint or the stored key differs."""
+        if not self.m:
+            return []
+        k = np.array([key], np.int64)
+        h = mix(k, self.seed)
+        pilot = np.array([self._value("pilot", int(h[0] % np.uint64(self.buckets)), "<u4")], np.uint32)
+        slot = int(mix((h ^ mix(pilot, 77)).view(np.int64), 3)[0] % np.uint64(self.m))
+        if self._value("fingerprint", slot, "<u4") != int(mix(k, 1000)[0] >> np.uint64(32)):
+            return []
+        out, at = [], self._value("entry", slot, "<i8")
+        while at < self.n and (NULL_KEY if self._value("null", at, "u1") else self._value("doc_id", at, "<i8")) == key:
+            start, end = np.frombuffer(self._read(self.at["offset"] + 8 * at, 16), "<i8")
+            self.data.seek(int(start) * self.width)
+            out.append(np.frombuffer(self.data.read(int(end - start) * self.width), f"<u{self.width}"))
+            at += 1
+        return out
+
+    def close(self) -> None:
+        self.index.close()
+        self.data.close()
+
+
+def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, list[np.ndarray]]:
+    """The ids of all documents of each key that the store holds, by key bounds, index and seek."""
+    wanted = sorted({int(k) for k in keys})
+    if not wanted:
+        return {}
+    near = manifest.where(F.exists(F.lit(np.array(wanted, np.int64)), lambda k: (k >= F.col("low")) & (k <= F.col("high"))))
+    out: dict[int, list[np.ndarray]] = {}
+    for r in near.orderBy("shard").toLocalIterator():  # a key's shards; few, as bounds overlap only in a repeated key
+        shard = Shard(r["index"], r["data"])
+        for k in wanted:
+            if r["low"] <= k <= r["high"] and (docs := shard.get(k)):
+                out.setdefault(k, []).extend(docs)
+        shard.close()
     return out
 
 
+def lookup_all(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """doc_id, nth, ids (array of int) of each asked key: a distributed lookup. A task opens a shard once for its keys.
+
+    A key finds its shards by binary search in the shards' key bounds, of which there are MOST_SHARDS at most.
+    """
+    bounds = manifest.select("shard", "low", "high").orderBy("shard").toArrow()
+    shared = keys.sparkSession.sparkContext.broadcast(tuple(np.asarray(bounds[c]) for c in ("shard", "low", "high")))
+
+    def meet(batches):
+        shard, low, high = shared.value
+        for x in batches:
+            key = np.asarray(x.column(0))
+            first, last = np.searchsorted(high, key, "left"), np.searchsorted(low, key, "right")
+            n = np.maximum(last - first, 0)
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.record_batch([pa.array(np.repeat(key, n)), pa.array(shard[at].astype(np.int32) if len(shard) else np.empty(0, np.int32))], ["key", "shard"])
+
+    asked = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
+    met = asked.mapInArrow(meet, "key long, shard int").join(manifest.select("shard", "data", "index"), "shard")
+
+    def read(batches):
+        now, shard = None, None
+        for x in batches:
+            rows = []
+            for key, index, data in zip(*(x.column(c).to_pylist() for c in ("key", "index", "data")), strict=True):
+                if index != now:
+                    if shard:
+                        shard.close()
+                    now, shard = index, Shard(index, data)
+                rows += [(key, n, ids) for n, ids in enumerate(shard.get(key))]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].astype(np.int64) for r in rows], pa.list_(pa.int64()))], ["doc_id", "nth", "ids"])
+        if shard:
+            shard.close()
+
+    return met.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(read, "doc_id long, nth int, ids array<long>")
+
+
 def read_store(manifest: DataFrame) -> DataFrame:
     """One row per stored document: doc_id, start, n_tokens, ids_crc32, from the files alone.
 
-    Each key goes through the index; the raw ids are streamed from the shard a few MB at a time.
+    Each key goes through the index, whose entry says where the key's documents begin; the raw ids are streamed
+    from the shard a few MB at a time, in the order of the entries.
     """
     starts = manifest.withColumn("before", F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids"))  # a row for each shard
     n = max(1, manifest.count())
@@ -272,16 +364,21 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_file(path) as f:
                     index = Index(f.read())
                 keys = np.where(index.null, NULL_KEY, index.doc_id)
-                first = index.find(keys)
-                if (first < 0).any() or (keys[first] != keys).any():
+                distinct, repeats = np.unique(keys, return_counts=True)
+                first = index.find(distinct)
+                if (first < 0).any():
                     raise RuntimeError(f"{index_at}: a stored key isn't found")
+                place = np.repeat(first, repeats) + np.arange(len(keys)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+                begin, end, owner = index.offset[place], index.offset[place + 1], np.repeat(distinct, repeats)
+                if (begin[1:] != end[:-1]).any():
+                    raise RuntimeError(f"{index_at}: the entries leave a gap")
                 fs, path = open_fs(data)
                 with fs.open_input_stream(path) as f:
                     for s in range(0, len(keys), 2000):
                         e = min(s + 2000, len(keys))
                         crcs = []
                         for d in range(s, e):
-                            left, crc = int(index.offset[d + 1] - index.offset[d]), 0
+                            left, crc = int(end[d] - begin[d]), 0
                             while left:
                                 raw = f.read(min(left, 1 << 20) * index.width)
                                 ids = np.frombuffer(raw, f"<u{index.width}")
@@ -290,6 +387,6 @@ def read_store(manifest: DataFrame) -> DataFrame:
                                 crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                                 left -= len(ids)
                             crcs.append(crc)
-                        yield pa.record_batch([pa.array(index.doc_id[s:e], mask=index.null[s:e].astype(bool)), pa.array(index.offset[s:e] + before), pa.array(np.diff(index.offset[s : e + 1])), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.record_batch([pa.array(owner[s:e], mask=index.null[place[s:e]].astype(bool)), pa.array(begin[s:e] + before), pa.array((end - begin)[s:e]), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return starts.repartition(min(n, 4096), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,16 +1,18 @@
 """Exact top-k inner products by aggregation without random access, in rounds.
 
 Each dimension of a block of candidates is a sorted list, read from its top for a positive query
-component and from its bottom for a negative one. A round reads all lists to one more depth. What
-has been read gives each candidate a lower bound (unread components at the far end of their list)
-and an upper bound (unread components at the list's present front). A candidate whose upper bound
-is under the k-th best lower bound cannot qualify; when few are left, or after the last round, the
-scores of the rest are resolved exactly. Ties at the bound are never cut.
+component and from its bottom for a negative one. A round reads all lists on to twice the depth and adds
+what it reads to the known part of each candidate's score. The unread parts give a lower bound (the far end
+of each list) and an upper bound (the last value read from it). A query stops once all but a few candidates have an
+upper bound under the k-th best lower bound, and the scores of these few are resolved; a query that
+never gets there reads its lists to their ends, where both bounds are the score. Candidates that can't
+qualify for any query of a batch are read no further. Ties at the bound are never cut.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do rows with a null vec_id; only vectors of equal length are compared; rows that repeat a vec_id
 are separate candidates, none of them for a query of that id, and a repeated query id is answered
-once for each of its different vectors, its rows merged to one list; ties go to the smaller vec_id.
+once for each of its different vectors, its rows merged to one list; ties go to the smaller vec_id; components
+are whole numbers of any size; a score beyond the long type counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -19,32 +21,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-DEPTHS = (0.25, 0.6)
+FIRST_DEPTH = 64
+LONG = (-(2**63), 2**63 - 1)
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) exactly: int64 where all fit into 53 bits, else Python's integers."""
+    small = np.abs(x) < 2**53 / scale
+    if small.all():
+        return np.floor(scale * x).astype(np.int64)
+    out = np.empty(x.shape, object)
+    flat = out.reshape(-1)
+    for i, v in enumerate(x.reshape(-1).tolist()):
+        n, d = v.as_integer_ratio()
+        flat[i] = scale * n // d
+    return out
 
 
 class Lists:
-    """The sorted lists of a block, as value matrices for each depth."""
+    """The sorted lists of a block: values, and each value's place in its list from the top."""
 
     def __init__(self, v: np.ndarray):
-        n = len(v)
-        self.v, self.low, self.high = v, v.min(0), v.max(0)
-        s = np.sort(v, axis=0)
-        bound = float(np.abs(v).max(initial=0))
-        self.kind = bound
-        self.rounds = []
-        for d in DEPTHS:
-            at = min(n - 1, int(n * d))
-            top, bottom = s[n - 1 - at], s[at]
-            self.rounds.append((top, bottom))
-
-    def bounds(self, q: np.ndarray, r: int, kind) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores, queries x candidates, after round r."""
-        top, bottom = self.rounds[r]
-        pos, neg = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        read_top, read_bottom = self.v >= top, self.v <= bottom
-        high = pos @ np.where(read_top, self.v, top).astype(kind).T + neg @ np.where(read_bottom, self.v, bottom).astype(kind).T
-        low = pos @ np.where(read_top, self.v, self.low).astype(kind).T + neg @ np.where(read_bottom, self.v, self.high).astype(kind).T
-        return low, high
+        self.v = v
+        order = np.argsort(-v, axis=0, kind="stable")
+        self.place = np.empty(v.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(v), dtype=np.int32)[:, None], 0)
+        self.sorted = np.take_along_axis(v, order, 0)
+        self.bound = max(1, int(abs(v.max())), int(abs(v.min())))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -56,53 +59,59 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def block_top_k(lists: Lists, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (candidate indices, scores) of its k best in the block."""
-    v, n = lists.v, len(lists.v)
-    most = max(1.0, lists.kind) * max(1.0, float(np.abs(q).max(initial=0))) * v.shape[1]
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
-    open_, out = np.arange(len(q)), [None] * len(q)
-    want = k + int(np.unique(ids, return_counts=True)[1].max(initial=1))  # a query's own rows may be among them
-    if n > 8 * want:
-        for r in range(len(DEPTHS)):
-            low, high = lists.bounds(q[open_], r, kind)
-            floor = np.partition(low, n - want, axis=1)[:, n - want]
-            can = high >= floor[:, None]
-            few = can.sum(1) <= n // 8
-            for i in np.flatnonzero(few):
-                at = np.flatnonzero(can[i])
-                at = at[ids[at] != q_ids[open_[i]]]
-                s = v[at].astype(object if kind is object else np.int64) @ q[open_[i]].astype(object if kind is object else np.int64)
-                b = _best(s, ids[at], k)
-                out[open_[i]] = (at[b], s[b])
-            open_ = open_[~few]
-            if not len(open_):
-                break
-    if len(open_):  # the lists are read to their ends
-        scores = q[open_].astype(kind) @ v.astype(kind).T
-        for i, s in zip(open_, scores, strict=True):
-            s = s.copy()
-            own = np.flatnonzero(ids == q_ids[i])
-            rest = n - len(own)
-            if kind is object:
-                at = np.flatnonzero(ids != q_ids[i])
-            else:
-                s[own] = s.min(initial=0) - 1
-                at = np.arange(n) if rest else np.empty(0, np.int64)
-            b = _best(s[at], ids[at], k + len(own))
-            b = at[b]
-            b = b[ids[b] != q_ids[i]][:k]
-            out[i] = (b, s[b])
-    return out
-
-
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = 16384) -> DataFrame:
+def block_top_k(lists: Lists, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, first_depth: int = FIRST_DEPTH) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each query (candidate indices, scores) of its k best in the block, and the depth to which it read the lists."""
+    n = len(lists.v)
+    most = lists.bound * max(1, int(np.abs(q).max(initial=0))) * q.shape[1]
+    kind = np.float32 if most < 2**24 else np.float64  # sums are exact in either
+    if most >= 2**53:  # scores that only Python's integers hold: the lists are read to their ends at once
+        out = []
+        for x, own in zip(q, q_ids, strict=True):
+            at = np.flatnonzero(ids != own)
+            s = np.array([min(max(int(y), LONG[0]), LONG[1]) for y in lists.v[at].astype(object) @ x.astype(object)], np.int64)
+            b = np.array(sorted(range(len(at)), key=lambda i: (-int(s[i]), int(ids[at[i]])))[:k], np.int64)
+            out.append((at[b], s[b]))
+        return out, np.full(len(q), n)
+    want = min(n, k + int(np.unique(ids, return_counts=True)[1].max(initial=1)))  # a query's own rows may be among them
+    cols, v, place = np.arange(n), lists.v.astype(kind), lists.place
+    open_, out, read = np.arange(len(q)), [None] * len(q), np.full(len(q), n)
+    up_q, down_q = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+    known = np.zeros((len(q), n), kind)
+    ends = lists.sorted[n - 1].astype(kind), lists.sorted[0].astype(kind)
+    done, depth = 0, min(n, max(first_depth, want))
+    while True:
+        from_top, from_bottom = place, n - 1 - place
+        known += up_q @ np.where((from_top >= done) & (from_top < depth), v, 0).astype(kind).T + down_q @ np.where((from_bottom >= done) & (from_bottom < depth), v, 0).astype(kind).T
+        far_top, far_bottom = (from_top >= depth).astype(kind).T, (from_bottom >= depth).astype(kind).T
+        fronts = lists.sorted[depth - 1].astype(kind), lists.sorted[n - depth].astype(kind)
+        high = known + (up_q * fronts[0]) @ far_top + (down_q * fronts[1]) @ far_bottom
+        low = known + (up_q * ends[0]) @ far_top + (down_q * ends[1]) @ far_bottom
+        rank = len(cols) - want
+        floor = np.partition(low, rank, axis=1)[:, rank]
+        can = high >= floor[:, None]
+        ends_now = (can.sum(1) <= 2 * want) | (depth == n)
+        for i in np.flatnonzero(ends_now):
+            at = cols[can[i]]
+            at = at[ids[at] != q_ids[open_[i]]]
+            s = lists.v[at].astype(np.int64) @ q[open_[i]].astype(np.int64)
+            b = _best(s, ids[at], k)
+            out[open_[i]], read[open_[i]] = (at[b], s[b]), depth
+        if ends_now.all():
+            return out, read
+        left = np.flatnonzero(~ends_now)
+        alive = np.flatnonzero(can[left].any(0))
+        open_, up_q, down_q, known = open_[left], up_q[left], down_q[left], known[np.ix_(left, alive)]
+        cols, v, place = cols[alive], v[alive], place[alive]
+        done, depth = depth, min(n, 2 * depth)
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each row whose id is divisible by `every`, against all other rows.
 
     Candidates lie in blocks of about block_rows by a hash of the id; each block gets the queries as
     a stream after its own rows, so a task holds one block. Blocks return k rows a query at most.
     """
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).where(finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dim"))
     blocks = max(1, -(-rows.count() // block_rows))
@@ -119,7 +128,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 while end < len(keys) and keys[end] == keys[at]:
                     end += 1
                 part = x.slice(at, end - at)
-                m = np.asarray(part.column("v").flatten(), np.int64).reshape(end - at, keys[at][0])
+                m = whole(np.asarray(part.column("v").flatten(), np.float64).reshape(end - at, keys[at][0]), scale)
                 p_ids = np.asarray(part.column("id"))
                 if keys[at][:2] != key:
                     key, held, lists = keys[at][:2], [], None
@@ -130,7 +139,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                         ids, all_v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                         lists = Lists(all_v)
                     for s in range(0, len(m), 256):
-                        got = block_top_k(lists, ids, m[s : s + 256], p_ids[s : s + 256], k)
+                        got, _ = block_top_k(lists, ids, m[s : s + 256], p_ids[s : s + 256], k)
                         q = np.concatenate([np.full(len(g[0]), p_ids[s + i]) for i, g in enumerate(got)]).astype(np.int64)
                         yield pa.record_batch([pa.array(q), pa.array(np.concatenate([ids[g[0]] for g in got]).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got]).astype(np.int64))], names)
                 at = end

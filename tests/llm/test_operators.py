@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import SCHEMA, documents, frame
 
@@ -30,6 +31,13 @@ def test_exact_dedup(spark):
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
         assert sum(r.kept for r in got) == len(groups)
         assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    long = " ".join(map(str, range(40_000)))  # several chunks; one differs in the last chunk, one in the first
+    texts = [long, long + "  x", long.replace(" ", "\t"), long + "\nx", long, "y" + long[1:], "a" * (1 << 16), "a" * ((1 << 16) + 1), "a " * (1 << 15) + " "]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    for moduli in ((2147483647, 2147483629), (3, 5)):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(df, moduli=moduli).collect()}
+        same = {i: [j for j, u in enumerate(texts) if norm(u) == norm(t)] for i, t in enumerate(texts)}
+        assert got == {i: (min(v), len(v), hashlib.sha256(norm(texts[i]).encode()).hexdigest()) for i, v in same.items()}
     kept = deduplicate(frame(spark, DOCS))
     assert sorted(norm(r.text) for r in kept.collect()) == sorted(groups)
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -143,17 +151,20 @@ def test_warc(spark):
         m = write_warc(df, revisit_bytes=least)
         got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_records(m).collect()}
         assert got == want
-    chunks = read_chunks(m).where("record_id = '<urn:page:5>'").orderBy("chunk_no").collect()
+    chunks = read_chunks(m).where("record_id like '<urn:page:5:%'").orderBy("chunk_no").collect()
     assert b"".join(c.data for c in chunks) == pages[4][2].encode() and len(chunks) > 2
     sha = hashlib.sha1()
     for c in chunks:
         sha.update(c.data)
         assert c.digest == base64.b32encode(sha.digest()).decode()
     assert read_records(write_warc(df.limit(0))).count() == 0
+    twice = spark.createDataFrame([(1, "a", "p" * 200_000), (1, "b", "q" * 200_000)], "page_id long, url string, html string")
+    chunks = read_chunks(write_warc(twice)).groupBy("record_id").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("c"), F.countDistinct("chunk_no").alias("d")).collect()
+    assert [r.n for r in chunks] == [200_000] * 2 and all(r.c == r.d for r in chunks)  # rows that repeat an id keep their chunks apart
 
 
 def test_sharding(spark):
-    from quern.llm.sharding import fisher_yates, shuffle_to_shards
+    from quern.llm.sharding import fisher_yates, read_shards, shuffle_to_shards, write_shards
 
     for bucket_bytes in (1 << 30, 3000):
         got = shuffle_to_shards(frame(spark, DOCS), bucket_bytes=bucket_bytes).collect()
@@ -166,6 +177,15 @@ def test_sharding(spark):
         want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in DOCS)
         assert Counter((r.doc_id, r["__size"], r["__crc32"]) for r in got) == want
     assert shuffle_to_shards(spark.createDataFrame([], SCHEMA)).count() == 0
+    places = [{(r.shard, r.slot, r.doc_id, r["__crc32"]) for r in shuffle_to_shards(frame(spark, DOCS, extra=False).repartition(n), bucket_bytes=3000).collect()} for n in (1, 5)]
+    assert places[0] == places[1]  # the seed decides, not how the rows are dealt
+    clash = frame(spark, DOCS).selectExpr("*", "'x' as shard", "7 as slot", "1 as __bucket")
+    path = write_shards(clash, bucket_bytes=3000)
+    back = read_shards(spark, path, clash.schema)
+    assert back.count() == len(DOCS) and {r.shard for r in back.collect()} <= set(range(16))
+    for shard in (0, 7):  # a shard is a folder of its own
+        alone = spark.read.parquet(f"{path}/shard={shard}").collect()
+        assert sorted(r.slot for r in alone) == list(range(len(alone)))
     assert sorted(fisher_yates(50, 3)) == list(range(50)) and list(fisher_yates(50, 3)) != list(fisher_yates(50, 4))
 
 
@@ -173,7 +193,7 @@ def test_token_store(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from quern.llm.token_store import lookup, read_store, write_store
+    from quern.llm.token_store import lookup, lookup_all, read_store, write_store
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
@@ -190,11 +210,13 @@ def test_token_store(spark):
         for r in order:
             assert r.start == at
             at += r.n_tokens
-    found = Counter()
-    for s in m.collect():
-        for docs in lookup(s["index"], s["data"], np.array([5, 500, 99999])):
-            found.update(tuple(d.tolist()) for d in docs)
-    assert found == Counter(tuple(x) for i, x in enc if i in (5, 500))
+    asked = [5, 500, 99999, -3]
+    found = lookup(m, asked)
+    want = {k: Counter(tuple(x) for i, x in enc if i == k) for k in (5, 500)}
+    assert {k: Counter(tuple(d.tolist()) for d in docs) for k, docs in found.items()} == want
+    got = lookup_all(m, spark.createDataFrame([(k,) for k in [*asked, 5, None]], "doc_id long")).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((k, x) for k, c in want.items() for x in c.elements())
+    assert lookup(m, []) == {} and lookup_all(m.limit(0), spark.range(3), "id").count() == 0
     assert read_store(write_store(spark.createDataFrame([], SCHEMA), path)).count() == 0
 
 
@@ -211,38 +233,66 @@ def test_perfect_hash():
     assert i.find(np.array([NULL_KEY, 4, 9, 5])).tolist() == [0, 1, 3, -1]
 
 
+def brute_best_fit(lengths, src, clu, capacity, per):
+    """A plain scan for the tightest compatible bin; of bins with one residual the one that has had it longest."""
+    bins, out = [], [0] * len(lengths)
+    for now, i in enumerate(sorted(range(len(lengths)), key=lambda i: -lengths[i])):
+        ok = [b for b in bins if b["left"] >= lengths[i] and b["src"][src[i]] < per and (clu[i] is None or clu[i] not in b["clu"])]
+        if not ok:
+            bins.append({"left": capacity, "since": now, "src": Counter(), "clu": set(), "id": len(bins)})
+            ok = [bins[-1]]
+        b = min(ok, key=lambda b: (b["left"], b["since"]))
+        b["left"], b["since"] = b["left"] - lengths[i], now
+        b["src"][src[i]] += 1
+        b["clu"].add(clu[i])
+        out[i] = b["id"]
+    return out
+
+
 def test_packing(spark):
-    from quern.llm.packing import best_fit, pack
+    import public_tokenizers
+
+    from quern.llm.packing import best_fit, pack, sequences
+    from quern.llm.token_store import encoder
 
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = encoder(path)
+    ids_of = lambda t: coder.encode(t or "") + coder.pack([1]) * bool(coder.encode(t or ""))
+    df = spark.createDataFrame(DOCS, SCHEMA).selectExpr("*", "'z' as bin", "'q' as ids").coalesce(1)
+    order = df.collect()
     for cap, per in ((50, 1), (2048, 4)):
-        got = pack(frame(spark, DOCS), capacity=cap, per_source=per, group_rows=40).collect()
-        assert Counter(w for r in got for w in [r.doc_id] * r.length) == Counter(r[0] for r in DOCS for _ in (r[1] or "").split())
-        fill, sources, clusters = Counter(), Counter(), Counter()
+        got = pack(df, path, capacity=cap, per_source=per, group_rows=40).collect()
+        whole = defaultdict(bytes)
+        for r in got:  # pieces come in input order, so repeated ids stay apart
+            whole[r.doc_id] += bytes(r.ids)
+        want = defaultdict(bytes)
+        for r in order:
+            want[r.doc_id] += ids_of(r.text)
+        assert whole == want
+        bins, at = defaultdict(list), 0
+        for s in range(0, len(order), 40):  # every group against the plain scan
+            pieces = [(r.source, " ".join((r.text or "").lower().split()), p, min(cap, n - p)) for r in order[s : s + 40] for n in [len(ids_of(r.text)) // 2] for p in range(0, max(n, 1), cap)]
+            fit = brute_best_fit([p[3] for p in pieces], [p[0] for p in pieces], [p[1:3] for p in pieces], cap, per)
+            mine = got[at : at + len(pieces)]
+            assert [(r.source, r.start, r.length, int(r.bin.split("-")[2])) for r in mine] == [(p[0], p[2], p[3], b) for p, b in zip(pieces, fit, strict=True)]
+            at += len(pieces)
+        assert at == len(got)
         for r in got:
-            fill[r.bin] += r.length
-            sources[(r.bin, r.source)] += 1
-            clusters[(r.bin, r.cluster)] += 1
-        assert max(fill.values()) <= cap and max(sources.values()) <= per and max(clusters.values()) == 1
-        assert all(r.bin_fill == fill[r.bin] for r in got)
+            assert r.at == sum(x.length for x in bins[r.bin])
+            bins[r.bin].append(r)
+        assert all(sum(x.length for x in v) == v[0].bin_fill <= cap for v in bins.values())
+        made = {r.bin: r for r in sequences(df, path, capacity=cap, per_source=per, group_rows=40).collect()}
+        assert {b: (bytes(r.ids), r.doc_ids, r.lengths) for b, r in made.items()} == {b: (b"".join(bytes(x.ids) for x in v), [x.doc_id for x in v if x.length], [x.length for x in v if x.length]) for b, v in bins.items() if v[0].bin_fill}
     rng = np.random.default_rng(5)
     for per in (1, 2):
-        n = 300
-        lengths, src, clu = rng.integers(0, 31, n).tolist(), rng.choice(["a", "a", "b", "c", None], n).tolist(), rng.integers(0, 200, n).tolist()
-        bins: list[dict] = []
-        want = [0] * n
-        for i in sorted(range(n), key=lambda i: -lengths[i]):  # plain scan for the tightest compatible bin
-            ok = [b for b in bins if b["left"] >= lengths[i] and b["src"][src[i]] < per and clu[i] not in b["clu"]]
-            if not ok:
-                bins.append({"left": 40, "src": Counter(), "clu": set(), "id": len(bins)})
-                ok = [bins[-1]]
-            b = min(ok, key=lambda b: b["left"])
-            want[i] = b["left"] - lengths[i]
-            b["left"] -= lengths[i]
-            b["src"][src[i]] += 1
-            b["clu"].add(clu[i])
-        got = best_fit(lengths, src, clu, 40, per)
-        assert abs(len(set(got)) - len(bins)) <= 2  # ties between bins of one residual may fall either way
-    assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
+        for n, top in ((300, 31), (300, 5), (1, 3)):
+            lengths, src = rng.integers(0, top, n).tolist(), rng.choice(["a", "a", "b", "c", None], n).tolist()
+            clu = [None if c == 7 else int(c) for c in rng.integers(0, 200, n)]
+            assert best_fit(lengths, src, clu, 40, per) == brute_best_fit(lengths, src, clu, 40, per)
+    given = pack(frame(spark, DOCS).withColumn("class", F.lit(1)), path, cluster_col="class").where("length > 0 and piece = 0").groupBy("bin").count()
+    assert {r["count"] for r in given.collect()} == {1}  # one cluster: never two in a bin
+    assert pack(frame(spark, DOCS), path, group_ids=100).count() >= len(DOCS)
+    assert pack(spark.createDataFrame([], SCHEMA), path).count() == 0 and sequences(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
 def test_language_id(spark):
@@ -252,6 +302,8 @@ def test_language_id(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(words[k].split(), 30)), k, "s", 0) for i, k in enumerate(rng.choice(list(words), 500).tolist())]
     rows += [(1000, None, "en", "s", 0), (1001, "123 !!", "en", "s", 0), (1002, "", None, "s", 0), (None, "the and of with", None, "s", 0)]
+    signs = ["\u00bd \u00b2", "\u2460 \u2167 \u00b3", "\u0663\u0664 \u4e00"[:2], "_ -- \u20ac"]  # number signs are no letters
+    rows += [(1003 + i, x, "en", "s", 0) for i, x in enumerate(signs)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as score", "2 as lang_pred").repartition(3)
     got = identify(df).collect()
     truth = {r[0]: r[2] for r in rows}
@@ -259,7 +311,7 @@ def test_language_id(spark):
     assert len(held) > 100 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
     by = {r.doc_id: r for r in got}
-    assert [by[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by[None].lang_pred == "en" and not by[None].held_out
+    assert [by[i].lang_pred for i in range(1000, 1007)] == ["und"] * 7 and all(by[i].score == 0 for i in range(1000, 1007)) and by[None].lang_pred == "en" and not by[None].held_out
     assert all(0 <= r.score <= 1 for r in got)
     kept = keep_identified(df).collect()
     assert {r.doc_id for r in kept} == set(range(500)) | {None} and {(r.score, r.lang_pred) for r in kept} == {(1, 2)}
@@ -329,21 +381,40 @@ def test_top_k(spark):
     from quern.llm.topk import top_k
 
     rng = np.random.default_rng(6)
-    for n, dim, scale in ((300, 8, 1.0), (2000, 16, 0.05), (60, 3, 1e6)):
+    for n, dim, scale in ((300, 8, 1.0), (2000, 16, 0.05), (60, 3, 1e6), (90, 3, 1e9), (5, 2, 1.0)):
         v = (rng.normal(size=(n, dim)) * scale).astype(np.float32)
-        v[5] = v[6] = v[20]
+        if n > 20:
+            v[5] = v[6] = v[20]
         rows = [(int(i), v[i].tolist()) for i in range(n)]
         bad = [(n + 20, None), (n + 40, []), (n + 60, [None] * dim), (n + 80, [float("nan")] * dim), (n + 100, [float("inf")] * dim), (None, v[0].tolist()), (n + 120, v[1].tolist() + [1.0])]
         df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "2 as block", "3 as kind", "4 as dim").repartition(3)
         z = np.floor(64 * v.astype(np.float64)).astype(np.int64)
+        z = z.astype(object) if scale > 1e8 else z
+        clamp = lambda x: min(max(int(x), -(2**63)), 2**63 - 1)
         want = set()
         for q in range(0, n, 20):
             s = z @ z[q]
-            order = sorted((i for i in range(n) if i != q), key=lambda i: (-s[i], i))[:20]
-            want |= {(q, r + 1, i, int(s[i])) for r, i in enumerate(order)}
+            order = sorted((i for i in range(n) if i != q), key=lambda i: (-clamp(s[i]) if scale > 1e8 else -s[i], i))[:20]
+            want |= {(q, r + 1, i, clamp(s[i])) for r, i in enumerate(order)}
         for block in (16384, 100):
             assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, block_rows=block).collect()} == want
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    huge = [(0, [1e17, -3e300]), (1, [2e17, 1.0]), (2, [-1e17, 1e300])]
+    got = {(r.vec_id, r.score) for r in top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 2**63 - 1), (2, -(2**63))}
+
+
+def test_top_k_stops_early():
+    from quern.llm.topk import Lists, block_top_k
+
+    rng = np.random.default_rng(9)
+    v = (rng.exponential(1.0, (5000, 4)) ** 3 * 64).astype(np.int64)  # few large values, so the front falls fast
+    q = np.abs((rng.normal(size=(20, 4)) * 64).astype(np.int64))
+    got, read = block_top_k(Lists(v), np.arange(5000), q, np.full(20, -1), 10)
+    for x, (at, s) in zip(q, got, strict=True):
+        full = v @ x
+        assert at.tolist() == sorted(range(5000), key=lambda i: (-full[i], i))[:10] and s.tolist() == full[at].tolist()
+    assert (read < 5000).all() and read.min() < 1000
 
 
 def brute_repeats(rows, width):
@@ -393,6 +464,40 @@ def test_suffix_dedup_keeps_buckets_whole(spark, monkeypatch, crowd):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 200)
 
 
+def test_suffix_dedup_large_homes(spark):
+    """Buckets whose rows outgrow a batch, with the default limits: 4,890 documents around three 64-byte lines, pairs share a window."""
+    from quern.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(13)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    low = lambda t: int(sd.gram_hashes(np.frombuffer(t.encode(), np.uint8))[0])
+    rows = []
+    for n in (2000, 890, 2000):
+        line = min((text(64) for _ in range(3000)), key=low)
+        for _ in range(n // 2):
+            left, right = text(68), text(68)  # 200 bytes with the line
+            rows += [(len(rows) + j, text(68) + left + line + right + text(68), "en", "s", 0) for j in range(2)]
+    assert len(rows) == 4890
+    want = brute_repeats(rows, 200)
+    for parts in (1, 4):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_suffix_dedup_long_text(spark, monkeypatch):
+    from quern.llm import suffix_dedup as sd
+
+    monkeypatch.setattr(sd, "PIECE", 5000)  # borders that a passage crosses
+    rng = np.random.default_rng(14)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = text(700)
+    rows = [(1, text(4700) + passage + text(9500) + passage + text(2000), "en", "s", 0), (2, text(9900) + passage[100:450] + text(30_000), "en", "s", 0)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 200)
+
+
 def test_suffix_array():
     from quern.llm.suffix_array import suffix_array
 
