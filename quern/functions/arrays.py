@@ -79,3 +79,75 @@ def subscripts(a, reverse: bool = False) -> Column:
     n = F.size(_c(a))
     ups = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.reverse(ups) if reverse else ups
+
+
+def array_cat(a, b) -> Column:
+    """A null array counts as none."""
+    a, b = _c(a), _c(b)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.concat(a, b))
+
+
+def array_ndims(a, levels: int = 1) -> Column:
+    """Dimensions of an array with so many levels of nesting; null for an empty one."""
+    return F.when(F.size(_c(a)) > 0, F.lit(levels))
+
+
+def _level(a, dim: int) -> Column:
+    out = _c(a)
+    for _ in range(dim - 1):
+        out = F.try_element_at(out, F.lit(1))
+    return out
+
+
+def array_lower(a, dim: int = 1) -> Column:
+    """1 where the dimension exists."""
+    return F.when(F.size(_level(a, dim)) > 0, F.lit(1))
+
+
+def array_upper(a, dim: int = 1) -> Column:
+    return F.when(F.size(_level(a, dim)) > 0, F.size(_level(a, dim)))
+
+
+def array_compare(a, b) -> Column:
+    """-1, 0 or 1: element by element, a null over every value, the shorter first where one begins the other."""
+    pair = F.zip_with(_c(a), _c(b), lambda x, y: F.when(x.eqNullSafe(y), 0).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, -1).otherwise(1))
+    shared = F.slice(pair, F.lit(1), F.greatest(F.least(F.size(_c(a)), F.size(_c(b))), F.lit(0)))
+    first = F.try_element_at(F.filter(shared, lambda s: s != 0), F.lit(1))
+    return F.coalesce(first, F.signum(F.size(_c(a)) - F.size(_c(b))).cast("int"))
+
+
+def all_compare(x, op: str, a) -> Column:
+    """x op ALL(a) in three-valued logic, op one of = <> < <= > >=."""
+    return F.forall(_c(a), lambda e: _OPS[op](_c(x), e))
+
+
+def any_compare(x, op: str, a) -> Column:
+    """x op ANY(a) in three-valued logic."""
+    return F.exists(_c(a), lambda e: _OPS[op](_c(x), e))
+
+
+_OPS = {
+    "=": lambda x, y: x == y, "<>": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y,
+}
+
+
+def row_compare(a: list, op: str, b: list) -> Column:
+    """ROW(a...) op ROW(b...): the first pair that isn't equal decides; null where a null pair comes before it."""
+    if len(a) != len(b) or not a:
+        raise ValueError("rows differ in size")
+    a, b = [x if isinstance(x, Column) else F.col(x) for x in a], [x if isinstance(x, Column) else F.col(x) for x in b]
+    if op in ("=", "<>"):
+        same = a[0] == b[0]
+        for x, y in zip(a[1:], b[1:], strict=True):
+            same = same & (x == y)
+        return same if op == "=" else ~same
+    out = _OPS[op](a[-1], b[-1])
+    for x, y in zip(reversed(a[:-1]), reversed(b[:-1]), strict=True):
+        out = F.when((x == y).isNull(), F.lit(None).cast("boolean")).when(x == y, out).otherwise(_OPS[op[0]](x, y))
+    return out
+
+
+def array_subquery(df, column: str, keys: list[str], order: list[str] | None = None):
+    """ARRAY(SELECT column ...) for each outer row by key: one row a key with its values in the given order."""
+    packed = F.sort_array(F.collect_list(F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order or [column])), F.col(column).alias("v"))))
+    return df.groupBy(*keys).agg(F.transform(packed, lambda s: s["v"]).alias(column))

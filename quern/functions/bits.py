@@ -47,6 +47,27 @@ def to_int(a) -> Column:
     return F.conv(_c(a), 2, 10).cast("long")
 
 
+def bit_substring(a, start: int, length: int | None = None) -> Column:
+    return F.substring(_c(a), start, 1 << 30 if length is None else length)
+
+
+def bit_position(part: str, a) -> Column:
+    """1-based place of the first occurrence, 0 without one."""
+    return F.locate(part, _c(a))
+
+
+def bit_overlay(a, new: str, start: int, length: int | None = None) -> Column:
+    return F.overlay(_c(a), F.lit(new), start, -1 if length is None else length)
+
+
+def bit_length(a) -> Column:
+    return F.length(_c(a))
+
+
+def bit_cat(a, b) -> Column:
+    return F.concat(_c(a), _c(b))
+
+
 class Enum:
     """Labels whose order is that of their declaration."""
 

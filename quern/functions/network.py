@@ -74,3 +74,66 @@ def mac_trunc(m) -> Column:
     """The manufacturer's half; the other is zero."""
     hexes = F.lower(F.rpad(F.substring(F.regexp_replace(_c(m), "[^0-9a-fA-F]", ""), 1, 6), 12, "0"))
     return F.concat_ws(":", *(F.substring(hexes, i, 2) for i in range(1, 12, 2)))
+
+
+def mac(m) -> Column:
+    """Six pairs joined by colons, from any of the usual ways to write one; anything else is an error."""
+    m = _c(m)
+    p = "[0-9a-fA-F]{2}"
+    q = "[0-9a-fA-F]{4}"
+    ok = m.rlike(f"^(({p}:){{5}}{p}|({p}-){{5}}{p}|({p}){{3}}[:-]({p}){{3}}|{q}\\.{q}\\.{q}|({p}){{6}})$")
+    h = F.lower(F.regexp_replace(m, "[^0-9a-fA-F]", ""))
+    return F.when(m.isNull(), None).when(ok, F.concat_ws(":", *(F.substring(h, i, 2) for i in range(1, 12, 2)))).otherwise(F.raise_error(F.concat(F.lit("invalid macaddr: "), m)).cast("string"))
+
+
+def _mac_zip(a, b, f) -> Column:
+    n = f(mac_to_int(a), mac_to_int(b))
+    h = F.lower(F.lpad(F.hex(n), 12, "0"))
+    return F.concat_ws(":", *(F.substring(h, i, 2) for i in range(1, 12, 2)))
+
+
+def mac_and(a, b) -> Column:
+    return _mac_zip(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def mac_or(a, b) -> Column:
+    return _mac_zip(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def mac_not(a) -> Column:
+    return _mac_zip(a, a, lambda x, _: x.bitwiseXOR(F.lit((1 << 48) - 1)))
+
+
+def family(x) -> Column:
+    return F.when(F.contains(_c(x), F.lit(":")), 6).otherwise(4)
+
+
+def text(x) -> Column:
+    """Address with its mask length."""
+    return F.concat(host(x), F.lit("/"), masklen(x).cast("string"))
+
+
+def abbrev(x) -> Column:
+    """Without a full mask length."""
+    return F.when(masklen(x) == 32, host(x)).otherwise(text(x))
+
+
+def minus(a, b) -> Column:
+    return to_int(a) - to_int(b)
+
+
+def inet_and(a, b) -> Column:
+    return from_int(to_int(a).bitwiseAND(to_int(b)))
+
+
+def inet_or(a, b) -> Column:
+    return from_int(to_int(a).bitwiseOR(to_int(b)))
+
+
+def inet_not(a) -> Column:
+    return from_int(F.lit((1 << 32) - 1) - to_int(a))
+
+
+def contains(a, b) -> Column:
+    """a >> b."""
+    return contained(b, a)

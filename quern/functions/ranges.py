@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quern.semantics import _c
+from quern.semantics import _c, bound
 
 
 def _l(x) -> Column:
@@ -38,6 +38,7 @@ def upper_inf(r) -> Column:
     return _c(r)["hi"].isNull() & ~_c(r)["empty"]
 
 
+@bound
 def contains_elem(r, x) -> Column:
     r, x = _c(r), _l(x)
     low = r["lo"].isNull() | (r["lo"] < x) | ((r["lo"] == x) & r["lo_inc"])
@@ -54,11 +55,13 @@ def _high_ge(a: Column, b: Column) -> Column:
     return a["hi"].isNull() | (b["hi"].isNotNull() & ((a["hi"] > b["hi"]) | ((a["hi"] == b["hi"]) & (a["hi_inc"] | ~b["hi_inc"]))))
 
 
+@bound
 def contains(a, b) -> Column:
     a, b = _c(a), _c(b)
     return b["empty"] | (~a["empty"] & _low_le(a, b) & _high_ge(a, b))
 
 
+@bound
 def left_of(a, b) -> Column:
     """a << b: every point of a is under every point of b."""
     a, b = _c(a), _c(b)
@@ -69,20 +72,24 @@ def right_of(a, b) -> Column:
     return left_of(b, a)
 
 
+@bound
 def overlaps(a, b) -> Column:
     a, b = _c(a), _c(b)
     return ~a["empty"] & ~b["empty"] & ~left_of(a, b) & ~left_of(b, a)
 
 
+@bound
 def not_right_of(a, b) -> Column:
     """a &< b: a doesn't reach beyond b."""
     return ~_c(a)["empty"] & ~_c(b)["empty"] & _high_ge(_c(b), _c(a))
 
 
+@bound
 def not_left_of(a, b) -> Column:
     return ~_c(a)["empty"] & ~_c(b)["empty"] & _low_le(_c(b), _c(a))
 
 
+@bound
 def adjacent(a, b) -> Column:
     a, b = _c(a), _c(b)
     meet = lambda x, y: F.coalesce((x["hi"] == y["lo"]) & (x["hi_inc"] != y["lo_inc"]), F.lit(False))
@@ -93,6 +100,7 @@ def _of(lo: Column, hi: Column, lo_inc: Column, hi_inc: Column, empty: Column) -
     return F.struct(F.when(~empty, lo).alias("lo"), F.when(~empty, hi).alias("hi"), (lo_inc & ~empty).alias("lo_inc"), (hi_inc & ~empty).alias("hi_inc"), empty.alias("empty"))
 
 
+@bound
 def intersect(a, b) -> Column:
     a, b = _c(a), _c(b)
     al, ah = _low_le(a, b), _high_ge(a, b)
@@ -100,6 +108,7 @@ def intersect(a, b) -> Column:
     return _of(pick(al, b, a, "lo"), pick(ah, b, a, "hi"), pick(al, b, a, "lo_inc"), pick(ah, b, a, "hi_inc"), ~overlaps(a, b))
 
 
+@bound
 def union(a, b) -> Column:
     """An error where the result isn't contiguous."""
     a, b = _c(a), _c(b)
@@ -110,6 +119,7 @@ def union(a, b) -> Column:
     return _of(pick(al, "lo"), pick(ah, "hi"), pick(al, "lo_inc"), pick(ah, "hi_inc"), none)
 
 
+@bound
 def difference(a, b) -> Column:
     """a without b; an error where b lies inside a."""
     a, b = _c(a), _c(b)
@@ -121,6 +131,7 @@ def difference(a, b) -> Column:
     return _of(F.when(low_cut, b["hi"]).otherwise(a["lo"]), F.when(high_cut, b["lo"]).otherwise(a["hi"]), F.when(low_cut, ~b["hi_inc"]).otherwise(a["lo_inc"]), F.when(high_cut, ~b["lo_inc"]).otherwise(a["hi_inc"]), empty)
 
 
+@bound
 def to_text(r) -> Column:
     r = _c(r)
     s = lambda c: F.coalesce(c.cast("string"), F.lit(""))

@@ -199,3 +199,72 @@ def get_bit(b, n: int) -> Column:
 def bpchar_length(s) -> Column:
     """Length of a blank-padded string: trailing blanks don't count."""
     return F.length(F.rtrim(_c(s)))
+
+
+def btrim(s, chars: str = " ") -> Column:
+    """Without any of these characters at either end."""
+    return F.trim(_c(s), F.lit(chars))
+
+
+def ltrim(s, chars: str = " ") -> Column:
+    return F.ltrim(_c(s), F.lit(chars))
+
+
+def rtrim(s, chars: str = " ") -> Column:
+    return F.rtrim(_c(s), F.lit(chars))
+
+
+def overlay(s, new, start: int, length: int | None = None) -> Column:
+    """s with `length` characters from `start` (as many as new has, by default) replaced."""
+    return F.overlay(_c(s), _c(new), start, -1 if length is None else length)
+
+
+def matches(s, pattern: str, ignore_case: bool = False) -> Column:
+    """s ~ pattern, or s ~* pattern; negate it for !~ and !~*."""
+    return _c(s).rlike(("(?i)" if ignore_case else "") + pattern)
+
+
+def regexp_split_to_table(s, pattern: str) -> Column:
+    """A row for each piece."""
+    return F.explode(regexp_split(s, pattern))
+
+
+def set_bit(b, n: int, v: int) -> Column:
+    """Bit n (from the lowest of the first byte) set to 0 or 1."""
+    old, mask = get_byte(b, n // 8), 1 << (n % 8)
+    new = old.bitwiseOR(mask) if v else old.bitwiseAND(255 - mask)
+    b = _c(b).cast("binary")
+    return F.concat(F.substring(b, 1, n // 8), F.unhex(F.lpad(F.hex(new), 2, "0")), F.substring(b, n // 8 + 2, 1 << 30))
+
+
+def escape_encode(b) -> Column:
+    """encode(b, 'escape'): zero and high bytes as three octal digits, backslashes doubled."""
+    h = F.regexp_extract_all(F.hex(_c(b).cast("binary")), F.lit("(..)"), F.lit(1))
+    code = lambda x: F.conv(x, 16, 10).cast("int")
+    octal = lambda x: F.concat(F.lit("\\"), F.lpad(F.conv(x, 16, 8), 3, "0"))
+    return F.array_join(F.transform(h, lambda x: F.when(x == "5C", F.lit("\\\\")).when((code(x) == 0) | (code(x) > 127), octal(x)).otherwise(F.chr(code(x)))), "")
+
+
+#: Escapes of one letter in E'' strings.
+ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+
+
+def e_string(text: str) -> str:
+    """The value of an E'...' literal's body: \\n and the like, \\ooo, \\xhh, \\uXXXX, \\UXXXXXXXX; other characters stand for themselves."""
+
+    def one(m: re.Match) -> str:
+        x = m[1]
+        if x[0] in "xuU" and len(x) > 1:
+            return chr(int(x[1:], 16))
+        return chr(int(x, 8) & 255) if x[0] in "01234567" else ESCAPES.get(x, x)
+
+    return re.sub(r"\\([0-7]{1,3}|x[0-9A-Fa-f]{1,2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", one, text, flags=re.S).replace("''", "'")
+
+
+#: Collations by name; others are taken as Spark's own names.
+COLLATIONS = {"C": "UTF8_BINARY", "POSIX": "UTF8_BINARY", "en_US": "en_USA", "de_DE": "de", "sv_SE": "sv", "tr_TR": "tr"}
+
+
+def collate(s, name: str) -> Column:
+    """s COLLATE name: comparisons and sorting follow that locale, or bytes for C."""
+    return F.collate(_c(s), COLLATIONS.get(name, name))

@@ -80,12 +80,21 @@ def ci(x) -> Column:
 
 
 def to_number(s, template: str) -> Column:
-    """9 0 . D , G S MI PR L templates: what isn't a digit, sign or point is dropped."""
+    """9 0 . D , G S MI PL SG PR L V TH templates: what isn't a digit, sign or point is dropped; V shifts the point; digits beyond the template are cut."""
     s = _c(s)
     negative = s.rlike("-|<.*>")
+    places = lambda part: len(re.findall("[09]", part))
+    whole, _, part = template.replace("D", ".").partition(".")
     digits = F.regexp_replace(s, "[^0-9.]", "")
-    scale = len(re.split(r"[.D]", template)[1].replace(",", "").replace("S", "").replace("MI", "").replace("PR", "")) if re.search(r"[.D]", template) else 0
-    v = digits.cast(f"decimal(38,{scale})")
+    scale = places(part)
+    if "V" in template:
+        shift = places(template.split("V")[1])
+        v = (digits.cast("decimal(38,10)") / 10**shift).cast(f"decimal(38,{max(shift, scale)})")
+    else:
+        parts = F.split(digits, "\\.")
+        head = F.substring(parts[0], 1, places(whole))
+        tail = F.substring(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), 1, scale)
+        v = F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), tail, F.lit("0")).cast(f"decimal(38,{scale})")
     return F.when(negative, -v).otherwise(v)
 
 
@@ -139,3 +148,35 @@ def dict_synonyms(df: DataFrame, token: str, synonyms: DataFrame) -> DataFrame:
     """One row for the token and one for each synonym; synonyms (word, synonym)."""
     extra = df.join(synonyms, F.col(token) == F.col("word")).drop("word").withColumn(token, F.col("synonym")).drop("synonym")
     return df.unionByName(extra)
+
+
+# facts about the session and sizes
+def current_setting(spark, name: str, missing_ok: bool = False):
+    """A setting's value; an unknown one is an error unless missing_ok."""
+    value = spark.conf.get(name, None)
+    if value is None and not missing_ok:
+        raise ValueError(f"unrecognized configuration parameter: {name!r}")
+    return value
+
+
+def set_config(spark, name: str, value: str) -> str:
+    spark.conf.set(name, value)
+    return value
+
+
+def relation_size(df: DataFrame) -> int:
+    """pg_relation_size: bytes of the files that a table is read from."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    total = 0
+    for name in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+def column_size(x, kind: str) -> Column:
+    """pg_column_size: bytes of a value of a fixed type, or of a text's bytes with their length word."""
+    fixed = {"smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "boolean": 1, "date": 4, "timestamp_ntz": 8, "timestamp": 8}
+    x = _c(x)
+    return F.when(x.isNotNull(), F.lit(fixed[kind]) if kind in fixed else F.octet_length(x) + F.when(F.octet_length(x) < 127, 1).otherwise(4))

@@ -34,3 +34,13 @@ def inherit(parent: DataFrame, *children: DataFrame) -> DataFrame:
     for c in children:
         out = out.unionByName(c.select(*parent.columns))
     return out
+
+
+def move_rows(source: DataFrame, target: DataFrame, where: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """WITH moved AS (DELETE ... RETURNING *) INSERT INTO target SELECT * FROM moved: (source, target, moved).
+
+    All parts see the tables as they were, as data-modifying WITH queries do.
+    """
+    left, moved = delete(source, where)
+    new, _ = insert(target, moved)
+    return left, new, moved

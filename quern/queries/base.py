@@ -35,3 +35,16 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+def cases(name: str, rows: list[tuple]) -> None:
+    """A query of (item, value) for literal inputs with published results; rows: (item, function that gives the column, result as text or None)."""
+    from pyspark.sql import functions as F
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        got = F.array(*(F.struct(F.lit(item).alias("item"), make().cast("string").alias("value")) for item, make, _ in rows))
+        return spark.range(1).select(F.inline(got))
+
+    quote = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'"
+    QUERIES[name] = run
+    ORACLES[name] = "select * from (values " + ", ".join(f"({quote(item)}, {quote(want)}::varchar)" for item, _, want in rows) + ") as t(item, value)"

@@ -173,13 +173,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return TS.ts_stat(table(spark, d, "benchmark").select(TS.to_tsvector("text", ()).alias("v")), "v")
 
 
-@query("ts_rank")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    q = TS.to_tsquery("the & (in | of) & !zebra")
-    v = TS.to_tsvector("text", ())
-    return table(spark, d, "benchmark").where(q.match(v)).select("item_id", F.round(TS.ts_rank(v, q), 6).alias("rank"))
-
-
 _G = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
 
 

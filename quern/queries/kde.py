@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern.kde import losses, model as M
 from quern.kde.config import Config, Metric
 from quern.queries.base import query, table
+from quern.session import shared_path
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 PICK = "(l_orderkey * 7919 + l_linenumber * 104729) % 1009 < 8"
@@ -261,12 +262,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_feedback_loop")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     from quern.kde import feedback as FB, ranges as R, store
     from quern.streaming.feedback import learn_from
 
-    base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-stream").rstrip("/") + f"/loop-{uuid.uuid4().hex}"
+    base = shared_path(spark, "loop")
     m = _model(spark, d)
     rows = [(None, "lineitem", 1, R.encode(r), 1_000_000, int(t * 1_000_000)) for r, t in _observed(spark, d)]
     FB.append(spark.createDataFrame(rows, FB.FEEDBACK), f"{base}/feedback")
@@ -277,11 +276,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_sample_maintenance")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     from quern.streaming.feedback import maintain
 
-    base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-stream").rstrip("/") + f"/changes-{uuid.uuid4().hex}"
+    base = shared_path(spark, "changes")
     # lineitem's even orders are the table at first; odd ones come in and every third of the even ones goes
     df = table(spark, d, "lineitem").where(" and ".join(f"{c} is not null" for c in COLS))
     even, third = F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 6 == 0

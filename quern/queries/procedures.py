@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern.functions import textsearch as TS, types as Y
 from quern.operators import procedures as P
 from quern.queries.base import query, sql, table
+from quern.session import shared_path
 
 NS = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
 _HEX = "{}(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(n_name))"
@@ -99,8 +100,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("materialized_view", "select o_custkey, count(*) as n from orders group by o_custkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-views").rstrip("/")
-    v = P.MaterializedView(spark, f"{base}/view-{uuid.uuid4().hex}", lambda: table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")))
+    v = P.MaterializedView(spark, shared_path(spark, "view"), lambda: table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")))
     v.refresh()
     return v.read()
 

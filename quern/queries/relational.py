@@ -177,12 +177,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # sources and sinks
 @query("copy_round_trip", "select o_orderkey, case when o_custkey % 5 = 0 then null else o_orderpriority end as p, o_orderstatus || chr(9) || 'x' as t from orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
+    from quern.session import shared_path
     from quern.sources.copy import copy_from, copy_to
 
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/quern-copy"
-    path = f"{base.rstrip('/')}/copy-{uuid.uuid4().hex}"
+    path = shared_path(spark, "copy")
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderpriority")).alias("p"), F.concat("o_orderstatus", F.lit("\tx")).alias("t"))
     copy_to(o, path, csv=True, null="\\N")
     return copy_from(spark, path, o.schema, csv=True, null="\\N")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.queries import base, functions, kde, procedures, relational  # noqa: F401  (they register)
+from quern.queries import base, cases, functions, kde, procedures, relational, structures  # noqa: F401  (they register)
 
 
 def queries() -> dict:

@@ -9,6 +9,27 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(x, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it; a long expression isn't copied into the plan again and again."""
+    return F.transform(F.array(_c(x)), f)[0]
+
+
+def bound(f):
+    """f with every argument that is a long column expression bound by let()."""
+    from functools import wraps
+
+    @wraps(f)
+    def g(*args, **kw):
+        args = list(args)
+        for i, a in enumerate(args):
+            if isinstance(a, Column) and len(repr(a)) > 160:
+                before, after = args[:i], args[i + 1 :]
+                return let(a, lambda v: g(*before, v, *after, **kw))  # noqa: B023  used at once
+        return f(*args, **kw)
+
+    return g
+
+
 def asc(x) -> Column:
     """Ascending order, nulls last."""
     return _c(x).asc_nulls_last()
