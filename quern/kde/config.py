@@ -31,7 +31,7 @@ class Config:
     kde_enable_adaptive_bandwidth: bool = False
     kde_minibatch_size: int = 5
     kde_online_optimization_algorithm: Online = Online.RMSPROP
-    kde_sample_maintenance: str = "car"  # tkr, pkr, prr or none
+    kde_sample_maintenance: str = "car"  # tkr, tkrp, pkr, prr or none
     kde_sample_maintenance_karma_limit: float = 4.0
     kde_sample_maintenance_karma_threshold: float = -2.0
     kde_sample_maintenance_period: int = 1

@@ -33,17 +33,24 @@ def replace(model: Model, slots: np.ndarray, rows: np.ndarray) -> None:
 
 
 def tkr_slots(model: Model, threshold: float = -2.0, ranges: list[Range] | None = None, truth: float | None = None) -> np.ndarray:
-    """Points under the karma threshold; where nothing qualified, also those that contribute more than any point outside could."""
+    """Points under the karma threshold; where nothing qualified, also those that contribute more than any point outside the ranges could.
+
+    A point outside lies beyond one bound at least. Its contribution is largest on a side's middle: there the factor of
+    that dimension is erf(w / (sqrt(2) h)) / 2 for a side of width w, and that of each other one is the largest of all,
+    erf(w / (2 sqrt(2) h)), 1 without bounds. Where no dimension is bounded there is no outside, and nothing to evict.
+    """
     bad = model.karma < threshold
     if truth == 0 and ranges is not None:
         lo, hi = model.standard(ranges)
         h, w = model.h(), hi - lo
         with np.errstate(invalid="ignore"):
             full, half = _erf(w / (np.sqrt(2) * h)), _erf(w / (2 * np.sqrt(2) * h))
-        per_dim = np.where(np.isfinite(w), full, 2.0)
-        ratio = np.max(np.where(np.isfinite(w), half / np.maximum(full, 1e-300), 0.0), initial=0.0)
-        bound = per_dim.prod() * ratio * 0.5 ** len(h)
-        bad |= model.contributions(ranges) > bound
+        # a side with one bound has its largest factor far from it, and half of that on the bound
+        half, full = np.where(np.isfinite(w), half, 1.0), np.where(np.isfinite(w), full, 1.0)
+        sided = np.isfinite(lo) | np.isfinite(hi)
+        if sided.any():
+            ratio = np.max(np.where(sided, full / np.maximum(2 * half, 1e-300), 0.0))
+            bad |= model.contributions(ranges) > half.prod() * ratio + 1e-12
     return np.flatnonzero(bad)
 
 
@@ -72,6 +79,36 @@ def car_insert(model: Model, row: np.ndarray, rng: np.random.Generator) -> None:
         replace(model, np.array([slot]), row[None, :])
 
 
+def slots_of(model: Model, row: np.ndarray) -> np.ndarray:
+    """Slots that hold exactly this raw row."""
+    return np.flatnonzero((np.abs(model.points - (row - model.mean) / model.sd) <= 1e-9).all(1))
+
+
+def car_batch(model: Model, inserted: int, deleted: int, hit: np.ndarray, rng: np.random.Generator, new_rows, fresh) -> np.ndarray:
+    """A batch of changes at once; returns the slots that were given other rows.
+
+    Each slot of a uniform sample of the table with its new rows holds one of these with probability inserted / all, so one
+    Binomial says how many slots change and new_rows(k) gives k of the inserted rows. Slots that hit names (of deleted
+    rows) and that weren't changed get fresh(k) rows of the table after the batch; fewer rows repeat.
+    """
+    before = model.rows
+    model.rows = before + inserted
+    k = int(rng.binomial(len(model.points), inserted / model.rows)) if inserted and model.rows > 0 else 0
+    taken = rng.choice(len(model.points), k, replace=False) if k else np.empty(0, np.int64)
+    if k:
+        rows = new_rows(k)
+        replace(model, taken, rows[np.arange(k) % len(rows)])
+    model.rows -= deleted
+    lost = np.setdiff1d(hit, taken)
+    if len(lost):
+        rows = fresh(len(lost))
+        if len(rows):
+            replace(model, lost, rows[np.arange(len(lost)) % len(rows)])
+        else:
+            model.points, model.karma = np.delete(model.points, lost, 0), np.delete(model.karma, lost)
+    return np.concatenate([taken, lost])
+
+
 def car_delete(model: Model, row: np.ndarray, fresh) -> int:
     """Slots that hold exactly the deleted row get fresh rows from fresh(n)."""
     model.rows -= 1

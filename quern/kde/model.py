@@ -69,6 +69,44 @@ def random_sample(df: DataFrame, columns: list[str], size: int, seed: int = 1) -
     return rows.withColumn("__r", F.rand(seed)).orderBy("__r").limit(size).drop("__r")
 
 
+def scv_bandwidth(points: np.ndarray, limit: int = 800, seed: int = 1, rounds: int = 60) -> np.ndarray:
+    """Diagonal bandwidths by smoothed cross-validation, on at most `limit` of the points.
+
+    The criterion is the normal kernels' integrated squared error with a pilot smoothing of the bias term; a search
+    in the logarithms steps each dimension up and down, with steps that shrink.
+    """
+    x = points if len(points) <= limit else points[np.random.default_rng(seed).choice(len(points), limit, replace=False)]
+    n, d = x.shape
+    gaps = (x[:, None, :] - x[None, :, :]) ** 2
+    sd = np.maximum(x.std(0, ddof=1), 1e-9)
+    pilot = sd * (2.0 / (n * (d + 8))) ** (1.0 / (d + 10)) / 2  # normal-scale pilot, for a sixth-order functional
+
+    def mean_normal(var: np.ndarray) -> float:
+        return float(np.exp(-0.5 * (gaps / var).sum(2)).mean() / np.sqrt((2 * math.pi * var).prod()))
+
+    def criterion(log_h: np.ndarray) -> float:
+        h2, g2 = np.exp(2 * log_h), pilot**2
+        return 1.0 / (n * (4 * math.pi) ** (d / 2) * math.exp(log_h.sum())) + mean_normal(2 * h2 + 2 * g2) - 2 * mean_normal(h2 + 2 * g2) + mean_normal(2 * g2)
+
+    at = np.log(sd * scott(d, n))
+    best, step = criterion(at), 0.5
+    for _ in range(rounds):
+        moved = False
+        for k in range(d):
+            for sign in (1, -1):
+                trial = at.copy()
+                trial[k] += sign * step
+                value = criterion(trial)
+                if value < best:
+                    at, best, moved = trial, value, True
+                    break
+        if not moved:
+            step /= 2
+            if step < 1e-3:
+                break
+    return np.exp(at)
+
+
 def sample_is_safe(blocks: int, rows: int, max_per_block: float) -> bool:
     """False for empty tables and where the fullest block holds over 1.75 times the mean."""
     return blocks > 0 and rows > 0 and max_per_block / (rows / blocks) <= 1.75
@@ -89,6 +127,7 @@ class Model:
     representation: str = "plain"
     karma: np.ndarray = field(default_factory=lambda: np.empty(0))
     version: int = 0
+    batches: dict[str, int] = field(default_factory=dict)  # the last micro-batch of each stream that the model holds
 
     @classmethod
     def analyze(cls, df: DataFrame, table: str, columns: list[str], size: int = 4300, kernel: str = "gauss", seed: int = 1) -> Model:

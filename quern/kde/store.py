@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quern.kde.model import Model, scott
 
-MODEL = "table string, columns array<string>, rowcount_table long, rowcount_sample long, scale_mean array<double>, scale_sd array<double>, bandwidth array<double>, kernel string, representation string, version int"
+MODEL = "table string, columns array<string>, rowcount_table long, rowcount_sample long, scale_mean array<double>, scale_sd array<double>, bandwidth array<double>, kernel string, representation string, version int, batches map<string,int>"
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
     model.version += 1
-    row = (model.table, model.columns, model.rows, len(model.points), *(list(map(float, x)) for x in (model.mean, model.sd, model.bandwidth)), model.kernel, model.representation, model.version)
+    row = (model.table, model.columns, model.rows, len(model.points), *(list(map(float, x)) for x in (model.mean, model.sd, model.bandwidth)), model.kernel, model.representation, model.version, model.batches)
     dump_sample(spark, model).write.mode("overwrite").parquet(f"{path}/sample/version={model.version}")
     spark.createDataFrame([row], MODEL).coalesce(1).write.mode("append").parquet(f"{path}/model")
 
@@ -24,7 +24,7 @@ def load(spark: SparkSession, path: str) -> Model:
     s = spark.read.parquet(f"{path}/sample/version={r['version']}").orderBy("slot").collect()  # kde_samplesize rows
     raw = np.array([[x[c] for c in r["columns"]] for x in s], float)
     mean, sd = np.array(r["scale_mean"]), np.array(r["scale_sd"])
-    return Model(r["table"], r["columns"], (raw - mean) / sd, mean, sd, np.array(r["bandwidth"]), r["rowcount_table"], r["kernel"], r["representation"], np.array([x["karma"] for x in s]), r["version"])
+    return Model(r["table"], r["columns"], (raw - mean) / sd, mean, sd, np.array(r["bandwidth"]), r["rowcount_table"], r["kernel"], r["representation"], np.array([x["karma"] for x in s]), r["version"], dict(r["batches"] or {}))
 
 
 def dump_sample(spark: SparkSession, model: Model) -> DataFrame:

@@ -302,14 +302,14 @@ def test_kde_queries_model_the_table(spark, tmp_path):
 
     inf = float("inf")
     queries = registry.queries()
-    assert np.isclose(queries["kde_explain_estimate"](spark, d).first()[0], few * estimate([10, -inf, -inf], [30, inf, 0.05]) / 3, rtol=1e-6)
+    assert np.isclose(kde.explain_rows(spark, d).first()[0], few * estimate([10, -inf, -inf], [30, inf, 0.05]) / 3, rtol=1e-6)
     want = np.mean([(estimate(b[1::2], b[2::2]) - ((raw > b[1::2]) & (raw < b[2::2])).all(1).mean()) ** 2 for b in kde.BOXES])
     for name in ("kde_rmsprop", "kde_vsgd"):
-        got = queries[name](spark, d).first()
+        got = kde.online(spark, d, name.removeprefix("kde_")).first()
         assert np.isclose(got.loss_before, want, rtol=1e-6) and np.isfinite(got.loss_after) and min(got.bandwidth) > 0
-    got = queries["kde_batch_optimised"](spark, d).first()
+    got = kde.batch_optimised(spark, d).first()
     assert got.loss_after <= got.loss_before and min(got.bandwidth) > 0
-    got = {r.strategy: r for r in queries["kde_sample_maintenance"](spark, d).collect()}
+    got = {r.strategy: r for r in kde.sample_maintenance(spark, d).collect()}
     assert got["car_delete"].table_rows == few + 99 and 0 <= got["pkr"].value < few
     assert queries["stream_feedback_loop"](spark, d).first().sample == few
 
@@ -330,13 +330,14 @@ def test_stream_maintains_the_table(spark, tmp_path, monkeypatch):
     d, n, samples, models = str(tmp_path), 6000, [], []
     raw = lineitem(spark, d, n)
     real, maintain = M.random_sample, feedback.maintain
-    monkeypatch.setattr(M, "random_sample", lambda *a: samples.append(a[2]) or real(*a))
+    for place in (M, feedback):
+        monkeypatch.setattr(place, "random_sample", lambda *a: samples.append(a[2]) or real(*a))
     monkeypatch.setattr(feedback, "maintain", lambda *a: models.append(a[1]) or maintain(*a))
     got = registry.queries()["stream_sample_maintenance"](spark, d).first()
     key = np.arange(n) // 4
     left = raw[key % 6 != 0]
     assert got.net_change == (key % 2 == 1).sum() - (key % 6 == 0).sum() and got.sample == (key % 2 == 0).sum()
-    assert len(samples) == 2  # ANALYZE, and one for all deleted points of the micro-batch
+    assert len(samples) == 3  # ANALYZE, one for the inserted and one for all deleted points of the micro-batch
     m = models[0]
     points = np.round(m.points * m.sd + m.mean, 4)
     assert m.rows == len(left) and {tuple(p) for p in points} <= {tuple(p) for p in np.round(left, 4)}
@@ -365,7 +366,7 @@ def test_entry_without_llm(spark, monkeypatch):
 
     def no_llm(name, *a, **k):
         if name.startswith(("quern.llm", "corpus_pipeline")):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **k)
 
     for n in [n for n in sys.modules if n.startswith(("quern.llm", "corpus_pipeline", "__spark_entry__"))]:
