@@ -77,7 +77,7 @@ def columns_bitmap(columns: list[str], all_columns: list[str]) -> int:
 
 
 def encode(ranges: list[Range]) -> list[dict]:
-    return [{"col": r.col, "lo": r.lo, "lo_inc": r.lo_inc, "hi": r.hi, "hi_inc": r.hi_inc} for r in ranges]
+    return [{"col": r.col, "lo": float(r.lo), "lo_inc": r.lo_inc, "hi": float(r.hi), "hi_inc": r.hi_inc} for r in ranges]
 
 
 def decode(rows) -> list[Range]:

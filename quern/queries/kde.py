@@ -464,3 +464,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     ch.write.parquet(f"{base}/changes")
     maintain(spark.readStream.schema(ch.schema).parquet(f"{base}/changes"), m, df.where(~third), f"{base}/checkpoint").awaitTermination()
     return spark.createDataFrame([(len(m.points), m.rows - before)], "sample int, net_change long")
+
+
+# the protocol of estimation time: eight dimensions, one hundred queries
+WIDE = [f"e{i}" for i in range(1, 9)]
+_WIDE_PICK = "vec_id * 7919 % 1000003"
+_WIDE_COLS = ", ".join(f"embedding[{i}]::double as e{i}" for i in range(1, 9))
+_WIDE_SQL = (
+    f"with v as (select vec_id, {_WIDE_COLS} from embeddings), s as (select {', '.join(WIDE)} from v order by {_WIDE_PICK}, vec_id limit {SIZE}), "
+    f"m as (select count(*) as n, {', '.join(f'avg({c}) as m_{c}, stddev_samp({c}) as d_{c}' for c in WIDE)} from s), "
+    f"q as (select vec_id as query_id, {', '.join(f'{c} - 0.25 as a_{c}, {c} + 0.25 as b_{c}' for c in WIDE)} from v where vec_id < 100), hh as (select pow(4.0 / (10 * n), 1.0 / 12) as h from m) "
+)
+
+
+@query("kde_estimate_8d", _erf_sql(_WIDE_SQL + f"select query_id, round(sum({' * '.join(_sql_factor(c, 'gauss') for c in WIDE)}) / count(*), 6) as estimate from q, s, m, hh group by query_id"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i - 1].cast("double").alias(f"e{i}") for i in range(1, 9)))
+    s = v.orderBy(F.expr(_WIDE_PICK), "vec_id").limit(SIZE).select(*WIDE)
+    n, mean, sd = M.moments(s, WIDE)
+    st = s.select(*(((F.col(c) - float(m)) / float(x)).alias(c) for c, m, x in zip(WIDE, mean, sd, strict=True)))
+    edge = lambda c, i, by: ((F.col(c) + by - float(mean[i])) / float(sd[i]))
+    q = v.where("vec_id < 100").select(F.col("vec_id").alias("query_id"), *(edge(c, i, by).alias(f"{side}_{c}") for i, c in enumerate(WIDE) for side, by in (("lo", -0.25), ("hi", 0.25))))
+    return M.estimate_batch(q, st, WIDE, [M.scott(8, n)] * 8, "gauss").select("query_id", F.round("estimate", 6).alias("estimate"))
