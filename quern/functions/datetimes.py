@@ -439,6 +439,11 @@ def statement_timestamp() -> Column:
     return F.current_timestamp()
 
 
+def timenow() -> Column:
+    """The query's start in whole seconds."""
+    return F.date_trunc("second", F.current_timestamp())
+
+
 def clock_timestamp() -> Column:
     """The time at which each batch of rows is evaluated."""
     import pandas as pd

@@ -108,7 +108,7 @@ def nextval(df: DataFrame, name: str, start: int = 1, step: int = 1, order: list
     return rows.withColumn(name, (F.lit(start) + (F.col("__b") + F.col("__r")) * step).cast("long")).drop("__p", "__i", "__q", "__b", "__r", "__n")
 
 
-def pg_typeof(x) -> Column:
+def typeof_name(x) -> Column:
     """Type names by the SQL standard."""
     t = F.typeof(_c(x))
     #: Names of types.
@@ -165,7 +165,7 @@ def set_config(spark, name: str, value: str) -> str:
 
 
 def relation_size(df: DataFrame) -> int:
-    """pg_relation_size: bytes of the files that a table is read from."""
+    """Bytes of the files that a table is read from."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     total = 0
@@ -176,7 +176,7 @@ def relation_size(df: DataFrame) -> int:
 
 
 def column_size(x, kind: str) -> Column:
-    """pg_column_size: bytes of a value of a fixed type, or of a text's bytes with their length word."""
+    """Bytes of a value of a fixed type, or of a text's bytes with their length word."""
     fixed = {"smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "boolean": 1, "date": 4, "timestamp_ntz": 8, "timestamp": 8}
     x = _c(x)
     return F.when(x.isNotNull(), F.lit(fixed[kind]) if kind in fixed else F.octet_length(x) + F.when(F.octet_length(x) < 127, 1).otherwise(4))

@@ -95,7 +95,7 @@ cases("case_datetime_input", [(f"{t} {o}", lambda t=t, o=o: T.timestamp_input(L(
 cases("case_time_zones", [
     ("timestamp at zone", lambda: T.at_time_zone(_date("2001-02-16 20:38:40"), "America/Denver"), "2001-02-17 03:38:40"), ("instant at zone", lambda: T.local_in(_date("2001-02-17 01:38:40"), "America/Denver"), "2001-02-16 18:38:40"), ("summer", lambda: T.at_time_zone(_date("1997-07-10 17:32:01"), "America/New_York"), "1997-07-10 21:32:01"), ("epoch", lambda: T.from_epoch(L(1284352323)).cast("timestamp_ntz"), "2010-09-13 04:32:03"), ("epoch fraction", lambda: T.from_epoch(L(0.25)).cast("timestamp_ntz"), "1970-01-01 00:00:00.25"),
     ("to_timestamp", lambda: T.to_timestamp(L("1985 January 12"), "YYYY Month DD"), "1985-01-12 00:00:00"), ("to_timestamp 2", lambda: T.to_timestamp(L("0097/Feb/16 --> 08:14:30"), 'YYYY/Mon/DD "-->" HH:MI:SS'), "0097-02-16 08:14:30"), ("now is statement", lambda: F.now() == T.statement_timestamp(), "true"), ("current_date", lambda: F.current_date() == F.to_date(F.now()), "true"),
-    ("clock", lambda: T.clock_timestamp() >= F.now(), "true"), ("timeofday", lambda: T.timeofday().rlike("^[A-Z][a-z]{2} [A-Z][a-z]{2} \\d\\d \\d\\d:\\d\\d:\\d\\d\\.\\d{6} \\d{4} \\w+$"), "true"),
+    ("clock", lambda: T.clock_timestamp() >= F.now(), "true"), ("timenow", lambda: (T.timenow() <= F.now()) & (F.unix_micros(T.timenow()) % 1_000_000 == 0), "true"), ("timeofday", lambda: T.timeofday().rlike("^[A-Z][a-z]{2} [A-Z][a-z]{2} \\d\\d \\d\\d:\\d\\d:\\d\\d\\.\\d{6} \\d{4} \\w+$"), "true"),
 ])
 _t = lambda text: L(T.time_input(text))
 cases("case_times", [

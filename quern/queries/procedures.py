@@ -45,7 +45,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("fn_typeof", "select 'integer' as a, 'text' as b, 'double precision' as c, 'bigint' as d, count(*) as n from supplier")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    return s.groupBy(Y.pg_typeof("s_nationkey").alias("a"), Y.pg_typeof("s_name").alias("b"), Y.pg_typeof("s_acctbal").alias("c"), Y.pg_typeof("s_suppkey").alias("d")).agg(F.count("*").alias("n"))
+    return s.groupBy(Y.typeof_name("s_nationkey").alias("a"), Y.typeof_name("s_name").alias("b"), Y.typeof_name("s_acctbal").alias("c"), Y.typeof_name("s_suppkey").alias("d")).agg(F.count("*").alias("n"))
 
 
 @query("fn_sequence", "select count(*) as n, min(i) as lo, max(i) as hi, count(distinct i) as k from (select 100 + 5 * (row_number() over () - 1) as i from orders)")

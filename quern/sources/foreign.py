@@ -66,7 +66,7 @@ class Server:
         if self.wrapper == "file":
             csv = options.get("format", "text") == "csv"
             return copy.copy_from(self.spark, options["filename"], schema, csv=csv, delimiter=options.get("delimiter"), null=options.get("null"), header=options.get("header", "false") == "true")
-        if self.wrapper == "postgres":
+        if self.wrapper == "jdbc":
             return self.spark.read.format("jdbc").options(**options).load()
         r = self.spark.read.format(self.wrapper).options(**options)
         return (r.schema(schema) if schema else r).load()
