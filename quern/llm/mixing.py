@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     """
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
+    sizes = dict(sorted((r["s"], r["n"]) for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()))  # ties go by name
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources or group them")
     target = {s: (weights or {}).get(None if s == "null" else s[1:], 0) if weights else n**temper for s, n in sizes.items()}

@@ -18,7 +18,7 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 def op2(spark: SparkSession, d: str) -> DataFrame:
     from quern.llm.warc import read_records, write_warc
 
-    return read_records(write_warc(_read(spark, d, "pages")))
+    return read_records(write_warc(_read(spark, d, "pages"))).drop("n_chunks")
 
 
 def op3(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +97,31 @@ p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c) - 1e-9),
 r(doc, root) as (select doc_id, doc_id from documents union select l.b, r.root from r join l on l.a = r.doc)
 select d.doc_id, (select min(root) from r where doc = d.doc_id) as class_id, (select count(*) from l where l.a = d.doc_id) as n_links from documents d""",
+    "op2_warc": r"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, h, sha1(h) as x, min(page_id) over (partition by h) as first from p),
+b as (select *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || x[i])::int), 4, '0')), '') as bits from d)
+select page_id, strlen(h) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substring(bits, (5 * i + j)::int, 1)::int * (1 << (5 - j)::int)))::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from b""",
     "op8_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v, len(embedding) as n from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
 s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as score from v a join v b on a.vec_id <> b.vec_id and a.n = b.n where a.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20""",
+    "op9_suffix_array_dedup": """
+with d as (select doc_id, strlen(coalesce(text, '')) as n, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, n, c, substring(h, (2048 * c + 1)::bigint, 2446) as h from (select doc_id, n, h, unnest(range(0, (greatest(n - 199, 0) + 1023) // 1024)) as c from d)),
+w as (select doc_id, 1024 * c + j as p, md5_number(substring(h, (2 * j + 1)::bigint, 400)) as k from (select doc_id, c, h, unnest(range(0, least(1024, n - 199 - 1024 * c))) as j from c)),
+r as (select doc_id, p from w where k in (select k from w group by k having count(*) > 1)),
+g as (select doc_id, p, coalesce(p > lag(p) over o + 200, true) as fresh, least(200, coalesce(lead(p) over o - p, 200)) as gone from r window o as (partition by doc_id order by p)),
+s as (select doc_id, span, min(p) as a, max(p) + 200 as b from (select doc_id, p, sum(fresh::int) over (partition by doc_id order by p) as span from g) group by doc_id, span),
+t as (select doc_id, count(*) as spans, sum(b - a) as gone from s group by doc_id),
+k as (select s.doc_id, string_agg(substring(h, (2 * coalesce(before, 0) + 1)::bigint, (2 * (a - coalesce(before, 0)))::bigint), '' order by a) as head, max(b) as last from (select *, lag(b) over (partition by doc_id order by a) as before from s) s join d using (doc_id) group by s.doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(t.gone, 0)::bigint as n_removed, coalesce(t.spans, 0) as n_spans,
+  sha256(from_hex(case when k.doc_id is null then h else coalesce(k.head, '') || substring(h, (2 * k.last + 1)::bigint) end)) as kept_sha256
+from d left join t using (doc_id) left join k using (doc_id)""",
     "op10_exact_dedup": r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from t""",

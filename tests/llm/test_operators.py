@@ -220,6 +220,22 @@ def test_token_store(spark):
     assert read_store(write_store(spark.createDataFrame([], SCHEMA), path)).count() == 0
 
 
+def test_encoder_equals_tokenizer():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm.token_store import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e, rng = Tokenizer.from_file(path), encoder(path), random.Random(3)
+    pieces = ["'s", "'LL", "don't", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "12", "\u00bd", "\u00b2", "\u2460", "\u2167", "\u0130", "\u1e9e", "\u01c5", "\u0301", "\u00e9", "e\u0301", "\ufb01", "\u6f22", "\U0001f600", "_", "--", "\u2026", "\u2028", "\u200b", "<|endoftext|>", "<|", "A", "z", "\u03a3", "\u03c2", "\u00ad", "\u0660", "\ufeff", "x" * 40]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        assert e.encode(text) == e.pack(t.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_perfect_hash():
     from quern.llm.token_store import NULL_KEY, Index, build_index, index_bytes
 
@@ -321,6 +337,76 @@ def test_language_id(spark):
         assert len({tuple(r) for r in c}) == n
 
 
+def test_language_id_held_out(spark):
+    """Held-out accuracy on the given table, labels of the fold that isn't learned from."""
+    import os
+
+    from quern.llm.language_id import identify
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path)
+    got = identify(docs).where("held_out and lang_pred <> 'und'").select("doc_id", "lang_pred").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id")
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert n > 200 and right > 0.95
+
+
+def test_language_training_is_bounded(spark):
+    from quern.llm.language_id import training_rows
+
+    rows = [(i, f"text {i}", "hot" if i % 3 else f"l{i % 7}", "s", 0) for i in range(6000)]
+    got = Counter(r.lang for r in training_rows(spark.createDataFrame(rows, SCHEMA), 50, 4).collect())
+    assert len(got) == 4 and got["hot"] == 50 and max(got.values()) == 50
+
+
+def brute_mixture(blocks, weights):
+    """Every slot by plain earliest deadline first in fractions; ties by the order of the sources."""
+    from fractions import Fraction
+
+    left, out = dict(blocks), []
+    while live := [s for s in blocks if left[s]]:
+        total = sum(Fraction(weights[s]) for s in live)
+        w = {s: Fraction(weights[s]) / total for s in live}
+        done, t = dict.fromkeys(live, 0), 0
+        while all(left[s] for s in live):
+            ready = [s for s in live if (done[s] / w[s]).__floor__() <= t]
+            s = min(ready, key=lambda s: (((done[s] + 1) / w[s]).__ceil__(), live.index(s)))
+            out.append(s)
+            done[s], left[s], t = done[s] + 1, left[s] - 1, t + 1
+    return out
+
+
+def test_mixing_equals_brute_force(spark):
+    from quern.llm.mixing import mix
+
+    for n, weights in (({"a": 40, "b": 25, "c": 7}, {"a": 1, "b": 3.7, "c": 0.0123}), ({"a": 30, "b": 30}, {"a": 0.5, "b": 0.25}), ({"x": 9}, {"x": 2}), ({"a": 50, "b": 20, "c": 20, "d": 3}, {"a": 1 / 3, "b": 0.1, "c": 0.1, "d": 5})):
+        rows = [(i, s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))]
+        got = mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, bucket_rows=9, weights=weights).collect()
+        assert [r.source for r in sorted(got, key=lambda r: r["__slot"])] == brute_mixture(n, weights)
+
+
+def test_mixing_ties(spark):
+    """Null and equal ids are told apart by the other columns, and spread over the salted buckets."""
+    from quern.llm.mixing import mix
+
+    rows = [(None if i % 2 else 7, f"t{i}", "en", "s", 0) for i in range(200)]
+    order = [[r.text for r in sorted(mix(spark.createDataFrame(rows, SCHEMA).repartition(k), bucket_rows=20).collect(), key=lambda r: r["__at"])] for k in (1, 5)]
+    assert order[0] == order[1] and sorted(order[0]) == sorted(r[1] for r in rows)
+
+
+def test_pfair_bound_over_many_slots():
+    from quern.llm.mixing import edf, whole
+
+    weights = whole({"a": 1, "b": 3.7, "c": 0.0123})
+    w, total, done = list(weights.values()), sum(weights.values()), [0] * 3
+    for t, i in enumerate(edf(w, [0] * 3), 1):
+        done[i] += 1
+        assert all(abs(d * total - t * x) < total for d, x in zip(done, w, strict=True))  # under one block, in whole numbers
+        if t == 100_000:
+            break
+
+
 def test_mixing(spark):
     from quern.llm.mixing import edf_period, mix, mixed, plan, rounded
 
@@ -399,7 +485,7 @@ def test_top_k(spark):
         for block in (16384, 100):
             assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, block_rows=block).collect()} == want
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    huge = [(0, [1e17, -3e300]), (1, [2e17, 1.0]), (2, [-1e17, 1e300])]
+    huge = [(0, [1e17, -3e300]), (1, [2e17, -1.0]), (2, [-1e17, 1e300])]
     got = {(r.vec_id, r.score) for r in top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()}
     assert got == {(1, 2**63 - 1), (2, -(2**63))}
 
