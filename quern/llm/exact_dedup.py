@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quern.llm._io import written
 from quern.llm.hot import join_hot
 from quern.llm.jaccard_join import _groups
-from quern.llm.keyfilter import possible
+from quern.llm.keyfilter import Prefilter
 
 CHUNK = 1 << 15
 MODULI = (2147483647, 2147483629)
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: The same class for Java and DuckDB patterns.
 BLANKS_SQL = r"[\x20\x09-\x0D]+"
-SALT_ROWS = 256
+SALT_ROWS = 64
 #: Longer texts are fingerprinted in chunks by many tasks.
 HUGE = 1 << 16
 
@@ -141,9 +141,9 @@ def _differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFra
     members = join_hot(prints, groups, on, "group_size", prints.count())
     members = members.groupBy("doc_id", "key", *on).agg(F.max(F.col("row") == F.col("keep_row")).alias("first"), F.first("group_size").alias("group_size"))
     members = written(members, "members")
-    maybe = possible(members.select("key"))
+    near = Prefilter(members.select("key")).maybe(docs, F.col("key"))
     m = members.withColumnsRenamed({"doc_id": "m_id", "key": "m_key"}).hint("merge")
-    rows = docs.where(maybe(F.col("key"))).join(m, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
+    rows = near.join(m, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), salts.cast("long")).cast("int")
     rows = rows.withColumn("salt", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(own))))
@@ -223,8 +223,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     touched = made.groupBy("doc_id", "key").agg(F.sum(F.col("kept").cast("long")).alias("__stay"), F.count("*").alias("n")).where("n > __stay")
     touched = written(touched.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__stay"), "touched")
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col])
-    maybe = possible(touched.select("__key"))
-    doubtful = docs.where(maybe(key)).join(touched.hint("merge"), (key == F.col("__key")) & docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    near = Prefilter(touched.select("__key"))
+    doubtful = near.maybe(docs, key).join(touched.hint("merge"), (key == F.col("__key")) & docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
     one = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
     single = doubtful.where("__stay = 1").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return docs.where(~maybe(key)).union(doubtful.where("__stay is null").select(*docs.columns)).union(single.select(*docs.columns))
+    return near.never(docs, key).union(doubtful.where("__stay is null").select(*docs.columns)).union(single.select(*docs.columns))

@@ -29,7 +29,7 @@ from quern.llm import shingles as sh
 from quern.llm._io import written
 from quern.llm.components import connected_components
 from quern.llm.hot import join_hot
-from quern.llm.keyfilter import possible
+from quern.llm.keyfilter import Prefilter
 
 STEP = 8
 
@@ -94,17 +94,23 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def _bucket_edges(reps: np.ndarray, sig: np.ndarray, least) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a bucket that survive pruning."""
-    label, edges = np.arange(len(reps)), []
+    """Edges from the least node of each group of the bucket's nodes that surviving pairs connect to its others."""
+    label = np.arange(len(reps))
     for i in range(len(reps) - 1):
         rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if not len(rest):
             continue
         for j in rest[survivors(sig[i], sig[rest], least)]:
             if label[j] != label[i]:
-                edges.append((int(reps[i]), int(reps[j])))
                 label[label == label[j]] = label[i]
-    return edges
+    return _stars(reps, label)
+
+
+def _stars(nodes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    order = np.lexsort((nodes, label))
+    first = np.concatenate([[True], label[order][1:] != label[order][:-1]]) if len(order) else np.empty(0, bool)
+    low = nodes[order][first][np.cumsum(first) - 1]
+    return list(zip(low[~first].tolist(), nodes[order][~first].tolist(), strict=True))
 
 
 def _verify(nodes, mult, left, right, sig, packed, threshold, least):
@@ -116,7 +122,7 @@ def _verify(nodes, mult, left, right, sig, packed, threshold, least):
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
     seen = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
-    links, edges, parent = np.zeros(len(nodes), np.int64), [], list(range(len(nodes)))
+    links, parent = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
     for i in range(len(nodes)):
         other = np.flatnonzero(right & (np.arange(len(nodes)) > i) if left[i] and right[i] else (right if left[i] else np.zeros(len(nodes), bool)))
         if not len(other):
@@ -135,8 +141,7 @@ def _verify(nodes, mult, left, right, sig, packed, threshold, least):
             a, b = _root(parent, i), _root(parent, int(j))
             if a != b:
                 parent[a] = b
-                edges.append((int(nodes[i]), int(nodes[j])))
-    return nodes, links, edges
+    return nodes, links, _stars(nodes, np.array([_root(parent, i) for i in range(len(nodes))], np.int64))
 
 
 def jaccard_join(
@@ -189,8 +194,8 @@ def jaccard_join(
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int").alias("nb"))
     wanted = members.join(sizes, "root").select("root", "node", "rep", "rep_key", "mult", "sig", "nb", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int").alias("mine"))
     wanted = written(wanted, "wanted")
-    maybe = possible(wanted.select(F.xxhash64("rep", "rep_key")))
-    texts = slim.where(maybe(F.xxhash64("doc_id", "text_key"))).join(wanted.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
+    near = Prefilter(wanted.select(F.xxhash64("rep", "rep_key").alias("key")))
+    texts = near.maybe(slim, F.xxhash64("doc_id", "text_key")).join(wanted.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
 
     def shingle(batches):
         keep = ["root", "node", "mult", "nb", "mine", "sig"]
@@ -232,7 +237,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     gone = jaccard_join(docs, id_col, text_col, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
     gone = written(gone, "gone")
-    maybe = possible(gone.select(F.xxhash64("__gone", "__key")))
-    doubtful = maybe(F.xxhash64(docs[id_col].cast("long"), F.xxhash64(docs[text_col])))
+    near = Prefilter(gone.select(F.xxhash64("__gone", "__key").alias("key")))
+    key = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(docs[text_col]))
     same = (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__key"))
-    return docs.where(~doubtful).union(docs.where(doubtful).join(gone.hint("merge"), same, "left_anti"))
+    return near.never(docs, key).union(near.maybe(docs, key).join(gone.hint("merge"), same, "left_anti"))

@@ -1,53 +1,41 @@
-"""A Bloom filter of fixed size that lets a scan keep back rows that no join partner can need.
+"""A prefilter of fixed size that keeps rows back in their scan where no join partner can need them.
 
-The filter has 2^26 bits whatever the data (8 MB are broadcast), so it is a prefilter only: an exact join
-always follows, and with more keys than it can tell apart more rows are shuffled, none is lost.
-Bits are set by a distributed aggregate; the driver receives the words of the bitmap and no key.
+Keys are 64-bit hashes. Of each the lowest 24 bits name one of 2^24 places, kept as 2^18 words of 64 bits, which are
+broadcast (3 MB whatever the data). It is a prefilter only: an exact join always follows, and with more keys than
+it can tell apart more rows are shuffled, none is lost. Built-in expressions alone, and no key reaches the driver.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS = 26
-PROBES = 3
+from quern.llm._io import written
 
+BITS = 24
 
-def _places(key: np.ndarray) -> np.ndarray:
-    """The bits of each 64-bit key, keys x probes: double hashing on its two halves."""
-    x = key.astype(np.int64).view(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return ((a[:, None] + np.arange(PROBES, dtype=np.uint64) * b[:, None]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
+def _bit(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(63).cast("int"))
 
-def possible(keys: DataFrame):
-    """A function from a long column to a boolean column: false only where the value isn't in the one column of keys."""
-    spark = keys.sparkSession
-    import pyarrow as pa
 
-    def bits(batches):
-        for x in batches:
-            at = np.unique(_places(np.asarray(x.column(0).drop_null())))
-            word = at >> 6
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(first) else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(word[first]), pa.array(value.view(np.int64))], ["word", "bits"])
+def _word(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 6).bitwiseAND((1 << (BITS - 6)) - 1)
 
-    words = keys.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^20 rows at most
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    bitmap[np.asarray(words["word"])] = np.asarray(words["bits"]).astype(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
 
-    def probe(k: pd.Series) -> pd.Series:
-        at = _places(k.to_numpy())
-        return pd.Series(((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1))
+class Prefilter:
+    """Which rows may have a key among those of a one-column table: maybe() are those that may, never() the others."""
 
-    udf = F.pandas_udf(probe, "boolean")
+    def __init__(self, keys: DataFrame):
+        key = F.col(keys.columns[0])
+        words = keys.where(key.isNotNull()).groupBy(_word(key).alias("__word")).agg(F.bit_or(_bit(key)).alias("__bits"))
+        self.words = written(words, "prefilter")
 
-    def column(key: Column) -> Column:
-        return udf(key)
+    def _join(self, df: DataFrame, key: Column, how: str) -> DataFrame:
+        hit = (_word(key) == F.col("__word")) & (_bit(key).bitwiseAND(F.col("__bits")) != 0)
+        return df.join(F.broadcast(self.words), hit, how)
 
-    return column
+    def maybe(self, df: DataFrame, key: Column) -> DataFrame:
+        return self._join(df, key, "left_semi")
+
+    def never(self, df: DataFrame, key: Column) -> DataFrame:
+        return self._join(df, key, "left_anti")

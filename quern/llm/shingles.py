@@ -12,7 +12,7 @@ class _Words(dict):
     """word -> 64-bit hash; forgets everything beyond a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

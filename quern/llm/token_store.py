@@ -137,7 +137,7 @@ class Encoder(dict):
     spans, and texts that may hold special tokens go to the tokenizer whole.
     """
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         import os
