@@ -2,7 +2,7 @@
 
 Every round is a few shuffles over at most two rows per edge, written to the shared folder, so that
 lineage stays short and a lost executor costs one round; the table of the round before is deleted.
-The edges of a hub stay where they are: its minimum is broadcast (see hot.py). Nothing is collected but three numbers.
+The edges of a hub of over 100,000 edges stay where they are: its minimum is broadcast (see hot.py). Nothing is collected but three numbers.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 from quern.llm._io import dropped, written_at
 from quern.llm.hot import hub_limit, join_hot
 
+#: Edges of one node, of 16 bytes each, that one task takes in any case.
+HUB = 100_000
+
 
 def _round(edges: DataFrame, total: int, hubs: bool) -> DataFrame:
     """With hubs the edges of hot nodes are joined apart (the same rows come out of either form)."""
 
     def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
-        return join_hot(rows, low, ["u"], "n", 2 * total).drop("n") if hubs else rows.join(low.drop("n"), "u")
+        return join_hot(rows, low, ["u"], "n", 2 * total, least=HUB).drop("n") if hubs else rows.join(low.drop("n"), "u")
 
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
@@ -48,7 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _facts(now)
     if before[0]:
         for _ in range(max_rounds):
-            new, new_path = written_at(_round(now, before[0], before[2] > hub_limit(2 * before[0])), "edges")
+            new, new_path = written_at(_round(now, before[0], before[2] > hub_limit(2 * before[0], HUB)), "edges")
             dropped(path)
             now, path = new, new_path
             after = _facts(now)

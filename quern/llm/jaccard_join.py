@@ -146,7 +146,7 @@ def _verify(nodes, mult, left, right, sig, packed, threshold, least):
 
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, threshold: float = 0.8,
-    bands: int = 24, rows: int = 4, tolerance: float = 1e-6, bucket_rows: int = 4096, block_rows: int = 1024, block_shingles: int = 1 << 20,
+    bands: int = 24, rows: int = 4, tolerance: float = 1e-6, bucket_rows: int = 4096, block_rows: int = 512, block_shingles: int = 1 << 18,
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), n_links (other documents at the threshold), text_key (hash of the text).
 
