@@ -114,9 +114,22 @@ def test_jaccard_join(spark):
     assert m[96] > m[48] > m[8] >= 0  # more values, more matches asked for
 
 
-def test_components(spark):
+def test_join_hot(spark):
+    from quern.llm.hot import join_hot
+
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3])], "k int, i int")
+    keys = spark.createDataFrame([(1, 50, "a"), (2, 3, "b")], "k int, n int, v string")
+    for how, want in (("inner", {"a": 50, "b": 3}), ("left", {"a": 50, "b": 3, None: 1})):
+        assert Counter(r.v for r in join_hot(rows, keys, ["k"], "n", 54, how, least=10).collect()) == want
+
+
+@pytest.mark.parametrize("hub", [100_000, 3])
+def test_components(spark, monkeypatch, hub):
+    from quern.llm import components
     from quern.llm.components import connected_components
 
+    monkeypatch.setattr(components, "HUB", hub)
+
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3), (5, 5)]
     root = {}
