@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.llm._io import written
+from quern.llm._io import release, written
 from quern.llm.hot import join_hot
 from quern.llm.jaccard_join import _groups
 from quern.llm.keyfilter import Prefilter
@@ -124,6 +124,7 @@ def _fingerprints(docs: DataFrame, moduli, seed: int, huge_bytes: int) -> DataFr
                     got.append((*f.of(data), hashlib.sha256(data).hexdigest()))
                 n, a, b, sha = zip(*got, strict=True)
                 yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha)], names)
+        release()
 
     names = ["doc_id", "key", "n_bytes", "fp1", "fp2", "text_sha256"]
     is_huge = F.coalesce(F.octet_length("text"), F.lit(0)) > huge_bytes

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm import shingles as sh
-from quern.llm._io import written
+from quern.llm._io import release, written
 from quern.llm.components import connected_components
 from quern.llm.hot import join_hot
 from quern.llm.keyfilter import Prefilter
@@ -163,6 +163,7 @@ def jaccard_join(
                 digests = pa.array([sh.set_digest(v) if len(v) else None for v in sets], pa.binary())
                 sigs = pa.array([sh.minhash(v, a, b).tobytes() if len(v) else None for v in sets], pa.binary())
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), digests, sigs, pa.array([len(v) for v in sets], pa.int32())], ["doc_id", "text_key", "digest", "sig", "n"])
+        release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     signed = written(slim.mapInArrow(sign, "doc_id long, text_key long, digest binary, sig binary, n int"), "signed")
@@ -204,6 +205,7 @@ def jaccard_join(
                 part = x.slice(s, 256)
                 packed = pa.array([sh.shingle_set(t.as_py(), k).tobytes() for t in part.column("text")], pa.binary())
                 yield pa.record_batch([*(part.column(c) for c in keep), packed], [*keep, "shingles"])
+        release()
 
     sets = texts.select("root", "node", "mult", "nb", "mine", "sig", "text").mapInArrow(shingle, "root long, node long, mult long, nb int, mine int, sig binary, shingles binary")
     blocks = sets.withColumn("theirs", F.explode(F.expr("sequence(0, nb - 1)")))
