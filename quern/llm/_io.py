@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: What a Python worker keeps from task to task; tasks that end in release() drop it.
+kept: dict = {}
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -59,16 +61,22 @@ def open_fs(uri: str):
 
 
 def release() -> None:
-    """Give freed memory back to the system at the end of a task, so that idle Python workers hold little beside the JVM."""
+    """Drop what is kept and give freed memory back to the system at the end of a task, so that idle Python workers hold little beside the JVM."""
+    kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     import ctypes
     import ctypes.util
 
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    give = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)  # glibc only
+    if give:
+        give(0)
 
 
 def make_dir(uri: str) -> str:

@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quern.llm._io import release
+
 GRAMS = 1 << 15
 LETTER = regex.compile(r"\p{L}")
 AMBIGUOUS = 0.05
@@ -144,6 +146,7 @@ def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 256) -> Mode
     """Only text and lang of rows whose crc32(doc_id) mod 3 isn't 1 are learned from."""
 
     def count(batches):
+        release()
         for x in batches:
             for s in range(0, x.num_rows, 200):
                 part = x.slice(s, 200)
@@ -165,12 +168,14 @@ def predict(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_
     schema = docs.select(*names).schema.add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
 
     def run(batches):
+        release()  # what an idle worker still holds of earlier work would come on top
         m = shared.value
         for x in batches:
             for s in range(0, x.num_rows, 500):
                 part = x.slice(s, 500)
                 got = [m.predict(t) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got])], [*part.schema.names, *added])
+        release()
 
     return docs.select(*names).mapInArrow(run, schema)
 

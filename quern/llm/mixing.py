@@ -134,7 +134,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     target = {s: w if w > 0 else least for s, w in target.items()}  # a source without weight still goes out, last
     names, weigh = list(sizes), list(whole(target).values())
     table = plan({s: -(-n // block_rows) for s, n in sizes.items()}, target)
-    stretches = spark.createDataFrame(table, "phase int, start long, t long, n int, live array<int>, first array<long>, before array<long>")
+    kinds = {"phase": pa.int32(), "start": pa.int64(), "t": pa.int64(), "n": pa.int32(), "live": pa.list_(pa.int32()), "first": pa.list_(pa.int64()), "before": pa.list_(pa.int64())}
+    columns = [pa.array([r[i] for r in table], kind) for i, kind in enumerate(kinds.values())]
+    stretches = spark.createDataFrame(pa.table(columns, list(kinds)))  # as Arrow: a list of rows would start Python workers of another kind, which stay
 
     def placed(batches):
         for x in batches:

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from quern.llm._io import trim
 from quern.llm.token_store import encoder
 
 PACK_TYPE = "doc_id long, piece int, start long, length long, bin string, bin_fill long, at long, source string, cluster long, ids binary"
@@ -132,6 +133,8 @@ def _packed(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, source_
                     group, rows, ids, n_docs, held = group + 1, [], [], 0, 0
         if rows:
             yield from close(part, group, rows, ids, size)
+        rows, ids = [], []
+        trim()
 
     return slim.mapInArrow(run, schema)
 

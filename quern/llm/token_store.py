@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quern.llm._io import make_dir, open_fs, work_dir, written
+from quern.llm._io import kept, make_dir, open_fs, work_dir, written
 
 MAGIC = b"QTOK0001"
 NULL_KEY = -(2**63)
@@ -189,14 +189,11 @@ class Encoder(dict):
         return b"".join(map(self._chunk, text.replace("\n", " ").split(" ")))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker process, so that its pieces serve all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each worker process, so that its pieces serve all its tasks until other work releases it."""
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, shard_bytes: int = 24 << 20) -> DataFrame:

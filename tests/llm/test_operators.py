@@ -631,3 +631,25 @@ def test_pipeline(spark, tmp_path):
     links = brute_links([(i, r.text) for i, r in enumerate(got)])
     assert sum(n for _, _, n in links) <= 2 * len(got)
     assert corpus_pipeline.run(spark, d).count() == counts[-1]
+
+
+def test_release_drops_what_workers_keep():
+    from quern.llm import _io, token_store
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_store.encoder(path) is token_store.encoder(path)
+    _io.trim()
+    assert path in _io.kept
+    _io.release()
+    assert not _io.kept
+
+
+def test_mixing_starts_no_other_workers(spark):
+    """The plan of the mixture reaches the executors as Arrow; rows from a list would go through Python workers of another kind."""
+    from quern.llm.mixing import mix
+
+    out = mix(spark.range(500).selectExpr("id as doc_id", "concat('s', id % 3) as source"))
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 500
