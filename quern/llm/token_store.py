@@ -18,6 +18,7 @@ doc_id are separate documents in order of their text's hash; extra columns are n
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 
@@ -117,27 +118,71 @@ def index_bytes(doc_id: np.ndarray, null: np.ndarray, offset: np.ndarray, width:
 
 #: Characters that this module splits and folds as the tokenizer does (no special form under NFC, known classes).
 UNSAFE = re.compile("[^\\x00-\\x1b\\x20-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff]")
-#: The pre-tokenizer's pieces over those characters: contractions, letters, single digits, other runs.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\\x09-\\x0d\\x20\x85\xa0\\w]|_)+")
+
+
+def _pieces() -> re.Pattern:
+    """The pre-tokenizer's pieces over those characters in lower case: letters, single digits, contractions, other runs.
+
+    The classes are spelt out as ranges, which the engine looks up in tables; categories are evaluated one after the other.
+    """
+    known = sorted({ord(x) for c in map(chr, range(0x2200)) if not UNSAFE.match(c) for x in c.lower()})
+
+    def ranges(pattern: str) -> str:
+        out: list[list[int]] = []
+        for c in known:
+            if re.match(pattern, chr(c)):
+                if out and out[-1][1] == c - 1:
+                    out[-1][1] = c
+                else:
+                    out.append([c, c])
+        return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out) + "]"
+
+    letter, digit, other = map(ranges, ("[^\\W\\d_\xb2\xb3\xb9\xbc\xbd\xbe]", "[\\d\xb2\xb3\xb9\xbc\xbd\xbe]", "[^\\x09-\\x0d\\x20\x85\xa0\\w]|_"))
+    return re.compile(f"{letter}+|{digit}|'(?:[stmd]|re|ve|ll)|{other}+")
+
+
+PIECES = _pieces()
 PROBE = "It's 12\u00bd o'clock -- D\u00e9j\u00e0 VU_x,\tna\u00efve \u2026end\u0130 we'LL"
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> list[str]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class Encoder(dict):
-    """Whole texts to packed ids by way of their pieces, each encoded once by the tokenizer's model and kept.
+class Recent(dict):
+    """make(key) of the keys asked for last, `limit` to twice as many of them; keys of over `longest` characters aren't kept.
+
+    At the limit the keys become the older ones; an older one that is asked for again comes back, the others go at the next limit.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.older.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class Encoder:
+    """Whole texts to packed ids by way of their pieces, each encoded by the tokenizer's model and kept for a while.
 
     That needs a tokenizer that lower-cases, drops white space and never joins pieces; a probe text decides,
     and other tokenizers get whole texts. Texts with other characters are cut at blanks, which no piece
     spans, and texts that may hold special tokens go to the tokenizer whole.
     """
 
-    LIMIT = 250_000
+    LIMIT = 100_000
 
     def __init__(self, path: str):
         import os
@@ -145,48 +190,40 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.letters, self.chunks = _byte_letters(), {}
+        self.letters = _byte_letters()
+        self.pieces, self.chunks = Recent(self._piece, self.LIMIT), Recent(self._chunk, self.LIMIT // 5)
         self.specials = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         try:
             self.by_piece = self._pieces(PROBE) == self._whole(PROBE)
         except Exception:  # noqa: BLE001  a model without that alphabet
             self.by_piece = False
-        self.clear()
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > self.LIMIT:
-            self.clear()
-        word = piece.encode().decode("latin-1").translate(self.letters)
-        self[piece] = out = self.pack([t.id for t in self.tokenizer.model.tokenize(word)])
-        return out
+    def _piece(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()  # the alphabet leaves these as they are
+        ids = [t.id for t in self.model.tokenize(piece if plain else "".join(map(self.letters.__getitem__, piece.encode())))]
+        return struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PIECES.findall(text.lower())))
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
 
     def _chunk(self, chunk: str) -> bytes:
-        if not UNSAFE.search(chunk):
-            return self._pieces(chunk)
-        if len(self.chunks) > self.LIMIT // 5:
-            self.chunks.clear()
-        if chunk not in self.chunks:
-            self.chunks[chunk] = self._whole(chunk)
-        return self.chunks[chunk]
+        return self._whole(chunk) if UNSAFE.search(chunk) else self._pieces(chunk)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(s in text for s in self.specials):
             return self._whole(text)
         if not UNSAFE.search(text):
             return self._pieces(text)
-        return b"".join(map(self._chunk, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> Encoder:

@@ -653,3 +653,31 @@ def test_mixing_starts_no_other_workers(spark):
     out = mix(spark.range(500).selectExpr("id as doc_id", "concat('s', id % 3) as source"))
     assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 500
+
+
+def test_recent_keys_stay():
+    from quern.llm.token_store import Recent
+
+    made = Counter()
+
+    def make(key):
+        made[key] += 1
+        return key.encode()
+
+    r = Recent(make, 100)
+    for i in range(5000):
+        assert r["often"] == b"often" and r[f"k{i}"] == b"k%d" % i
+        assert len(r) + len(r.older) <= 200
+    assert made["often"] == 1  # clearing at the limit made it anew each time
+    assert r["x" * 65] == b"x" * 65 and "x" * 65 not in r
+
+
+def test_pieces_by_ranges():
+    import random
+
+    from quern.llm.token_store import PIECES, UNSAFE
+
+    plain = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\\x09-\\x0d\\x20\x85\xa0\\w]|_)+")
+    known, rng = [c for c in map(chr, range(0x2200)) if not UNSAFE.match(c)], random.Random(4)
+    for text in ["".join(known), *("".join(rng.choice(known + ["'s", "'ll", "a", " "] * 40) for _ in range(60)) for _ in range(500))]:
+        assert PIECES.findall(text.lower()) == plain.findall(text.lower())
